@@ -1,0 +1,24 @@
+"""What several operators of this subpackage share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def reliable_checkpoint(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder that the cluster names in spark.checkpoint.dir and read it from there.
+
+    Only where no folder is named and the master is local (tests, one machine)
+    a temporary one is set; elsewhere a missing setting is an error.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="frameloom-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
