@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import reliable_checkpoint
+
 MIN_CHARS = 150
 #: Characters of a token. With windows of MIN_CHARS - K + 1 tokens, two texts with a common run of MIN_CHARS share one.
 K = 64
@@ -231,9 +233,11 @@ def verified_spans(cand: DataFrame, docs: DataFrame, min_chars: int = MIN_CHARS)
 
 def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> tuple[DataFrame, DataFrame]:
     """Spans between different texts (one document standing for its exact copies), and the copies."""
-    copies = exact_copies(docs, min_chars)
+    spark = docs.sparkSession
+    # Both are read several times below and are small beside the tokens they come from.
+    copies = reliable_checkpoint(spark, exact_copies(docs, min_chars))
     stretches = paths(repeated_tokens(sampled_kmers(docs, k, min_chars)), k, min_chars)
-    stretches = stretches.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    stretches = reliable_checkpoint(spark, stretches.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti"))
     return verified_spans(candidates(stretches), docs, min_chars), copies
 
 
