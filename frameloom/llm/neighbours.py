@@ -106,7 +106,7 @@ def best_of(qx: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
             near[np.take_along_axis(up, first, 1) < -8] = -9
             floor = np.maximum(floor, -np.partition(-near, k - 1, axis=1)[:, k - 1] - 1e-5)
         want = up >= floor[:, None]
-        if want.mean() > 0.1:
+        if want.mean() > 0.02:
             # Too many to pick one by one: the exact product of the block, and its best with a reserve.
             near = np.where(want, q32[rows] @ x32.T, -9)
             m = min(k + 6, near.shape[1])
