@@ -100,7 +100,7 @@ def segments(text: str | None, speakers: tuple[tuple[int | None, str], ...]) ->
             continue
         if kind == "open":
             close = low.find(_CLOSERS[low[at]], at + 1)
-            if low[at] == "*" and low.startswith("**", at):
+            if low[at] == "*" and "*" in (low[at - 1 : at], low[at + 1 : at + 2]):
                 continue  # bold text: the name inside decides
             if close < 0 or "\n" in low[at:close]:
                 continue
