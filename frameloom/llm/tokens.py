@@ -82,7 +82,8 @@ def _names(path: str) -> dict[int, bytes]:
     return {v: k for k, v in ranks_of(path).items()}
 
 
-_PRE = regex.compile(PATTERN)
+#: The published pattern for this regex library, whose own white space has a few characters more.
+_PRE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
 def boundaries(text: str, lo: int, hi: int, at: int = 0) -> list[int]:
@@ -111,7 +112,8 @@ def encode_chunk(text: str, first: bool, final: bool, chunk: int, overlap: int,
         # The pattern must see what follows a boundary, unless the text ends there.
         sure = len(text) if len(text) < chunk + overlap else len(text) - 3
         tail = boundaries(text, chunk, sure)
-    marks = sorted({0, *head, *tail})
+    # A piece must not end in blanks whose split depends on what follows it.
+    marks = sorted({0, *head, *tail, *(m.start() for m in _CUT.finditer(text))})
     ids: list[int] = []
     count: dict[int, int] = {}
     for a, b in zip(marks, [*marks[1:], len(text)]):
