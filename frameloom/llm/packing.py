@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from . import tokens
 
 CAPACITY = 2_048
-#: Items that one task packs at a time, and underfull bins that one local search looks at.
-SHARD_ITEMS, SEARCH_BINS = 20_000, 64
+#: Items that one task packs at a time.
+SHARD_ITEMS = 20_000
+#: Bins that give in a round (or a twentieth of the underfull ones, if that is more), documents of a bin that
+#: are tried in pairs, and pool documents tried as the first of a pair. They bound the search, not what is packed.
+GIVING_BINS, PAIR_ITEMS, PAIR_PROBES = 24, 12, 24
 SCHEMA = "shard long, bin long, fill long, doc_id long, piece int, n_tokens long"
 
 
@@ -40,65 +43,88 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, max_rounds: int = 50) -> list[list[int]]:
-    """Improve a packing by moves and swaps between its underfull bins.
+def _best_exchange(taker: list[int], gap: int, sizes: list[int], pool: list[tuple[int, int]]) -> tuple[int, list[int], list[int]] | None:
+    """The exchange that fills a bin's gap best: ``(gain, documents that leave the bin, places in the pool that enter)``.
 
-    The least filled bin gives and the others take: a document moves where it
-    fits; else it is exchanged for a smaller one, or for two that are smaller
-    together, so that the taking bin comes closer to full. Each step raises the
-    sum of squared fills, so the search ends. A bin that runs empty is closed.
+    Tried are a move into the gap, one for one, two of the bin for one of the
+    pool and one of the bin for two of the pool; each looks up the largest
+    document that fits, so the gain is as near to the gap as it gets.
+    """
+    n = len(pool)
+    top_id = len(sizes) + 1
+    best: tuple[int, list[int], list[int]] | None = None
+
+    def offer(out: list[int], weight: int) -> bool:
+        nonlocal best
+        at = bisect_right(pool, (weight + gap, top_id)) - 1
+        if at >= 0 and (gain := pool[at][0] - weight) > 0 and (best is None or gain > best[0]):
+            best = (gain, out, [at])
+        return best is not None and best[0] == gap
+
+    if offer([], 0):
+        return best
+    for j in taker:
+        if offer([j], sizes[j]):
+            return best
+    some = taker[:PAIR_ITEMS]
+    for x, j in enumerate(some):
+        for k in some[:x]:
+            if offer([j, k], sizes[j] + sizes[k]):
+                return best
+    step = max(1, n // PAIR_PROBES)
+    for j in [None, *taker]:
+        weight = sizes[j] if j is not None else 0
+        for p in range(0, n, step):
+            room = weight + gap - pool[p][0]
+            if room <= 0:
+                break
+            q = bisect_right(pool, (room, top_id)) - 1
+            if q == p:
+                q -= 1
+            if q >= 0 and (gain := pool[p][0] + pool[q][0] - weight) > 0 and (best is None or gain > best[0]):
+                best = (gain, [] if j is None else [j], [p, q])
+                if gain == gap:
+                    return best
+    return best
+
+
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int, max_rounds: int = 6) -> list[list[int]]:
+    """Improve a packing by moves and exchanges between its underfull bins.
+
+    The least filled bins give, all other underfull bins take, fullest first.
+    Each exchange makes the taking bin fuller and the giving ones emptier, so
+    the sum of squared fills rises. What the givers still hold is put together
+    in as few bins as it needs, and those that run empty are closed. Rounds
+    follow until no bin is saved; a round that saves none is taken back.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
     for _ in range(max_rounds):
-        if len(open_) < 2:
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        under = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
+        least = -(-sum(sizes[i] for b in bins for i in b) // capacity)
+        if len(under) < 2 or len(bins) == least:
+            break
+        giving = under[: max(1, min(len(under) // 2, max(GIVING_BINS, len(under) // 20)))]
+        pool = sorted((sizes[i], i) for b in giving for i in bins[b])
+        taking = {b: list(bins[b]) for b in under[len(giving) :][::-1]}
+        for b, mine in taking.items():
+            gap = capacity - fill[b]
+            while gap and pool and (found := _best_exchange(mine, gap, sizes, pool)):
+                gain, out, places = found
+                enter = [pool[at][1] for at in places]
+                for at in sorted(places, reverse=True):
+                    pool.pop(at)
+                for j in out:
+                    mine.remove(j)
+                    insort(pool, (sizes[j], j))
+                mine += enter
+                gap -= gain
+        left = [i for _, i in pool]
+        again = [[left[x] for x in b] for b in best_fit([sizes[i] for i in left], capacity)]
+        if len(again) >= len(giving):
             break
-        gain = False
-        giver = open_[0]
-        takers = open_[:0:-1][:SEARCH_BINS]
-        for t in takers:
-            gap = capacity - fill[t]
-            if gap <= 0:
-                continue
-            mine = sorted((sizes[i], i) for i in bins[giver])
-            # Move: the largest document that fits.
-            at = bisect_right(mine, (gap, len(sizes)))
-            if at:
-                s, i = mine[at - 1]
-                bins[giver].remove(i)
-                bins[t].append(i)
-                fill[giver] -= s
-                fill[t] += s
-                gain = True
-                if not bins[giver]:
-                    break
-                continue
-            # Exchange one, or two of the taker, for one of the giver.
-            theirs = sorted((sizes[i], i) for i in bins[t])
-            best = None
-            singles = [(s, (i,)) for s, i in theirs]
-            pairs = [(theirs[a][0] + theirs[b][0], (theirs[a][1], theirs[b][1])) for a in range(min(len(theirs), 24)) for b in range(a)]
-            for out, which in singles + pairs:
-                at = bisect_right(mine, (out + gap, len(sizes)))
-                if at and mine[at - 1][0] > out:
-                    rise = mine[at - 1][0] - out
-                    # Squared fill rises if the taker ends fuller than the giver was.
-                    if (fill[t] + rise) ** 2 + (fill[giver] - rise) ** 2 > fill[t] ** 2 + fill[giver] ** 2 and (best is None or rise > best[0]):
-                        best = (rise, mine[at - 1][1], which)
-            if best:
-                rise, i, which = best
-                bins[giver].remove(i)
-                bins[t].append(i)
-                for j in which:
-                    bins[t].remove(j)
-                    bins[giver].append(j)
-                fill[t] += rise
-                fill[giver] -= rise
-                gain = True
-        if not bins[giver] or not gain:
-            open_.pop(0)
-        open_ = sorted((b for b in open_ if 0 < fill[b] < capacity), key=lambda b: fill[b])
-    return [b for b in bins if b]
+        gone = set(giving)
+        bins = [taking.get(b, bins[b]) for b in range(len(bins)) if b not in gone] + again
+    return bins
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
