@@ -170,11 +170,23 @@ def _binary(m: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.arange(0, (len(m) + 1) * step, step, dtype=np.int32)[: len(m) + 1]), pa.py_buffer(m)])
 
 
-def _with_rank(v: DataFrame, k: int, salts: int = 64) -> DataFrame:
-    """One row for each id, with its place among the exact copies of its vector (in salted groups)."""
+def _split_copies(v: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows to search, once each, and the lists that groups of more than k + 1 exact copies have without a search.
+
+    Of such a group the k + 1 smallest ids are searched like any others; every
+    member has the smallest of the others as neighbours. The groups are counted
+    on the map side, and the limit acts before the shuffle, so a group of a
+    third of all rows is never gathered.
+    """
     v = v.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec"))
-    w = Window.partitionBy("h1", "h2", F.pmod(F.xxhash64("id"), F.lit(salts))).orderBy("id")
-    return v.withColumn("place", F.dense_rank().over(w)).withColumn("twice", F.coalesce(F.lag("id").over(w) == F.col("id"), F.lit(False))).where("not twice").drop("twice")
+    big = v.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h1", "h2")
+    plain = v.join(big, ["h1", "h2"], "left_anti").select("id", "vec")
+    crowd = v.join(big, ["h1", "h2"], "left_semi")
+    w = Window.partitionBy("h1", "h2").orderBy("id")
+    first = crowd.select("h1", "h2", "id").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
+    lists = crowd.select("h1", "h2", "id").distinct().join(first.select("h1", "h2", F.col("id").alias("neighbour"), "place"), ["h1", "h2"])
+    searched = plain.unionByName(crowd.join(first.select("h1", "h2", "id"), ["h1", "h2", "id"], "left_semi").select("id", "vec"))
+    return searched.dropDuplicates(["id"]), lists.where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
 
 
 def _pairs_schema() -> str:
@@ -192,9 +204,9 @@ def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None =
     Every row is put into the cells of its ``cells_each`` nearest centroids,
     fitted on at most about SAMPLE_ROWS rows; two rows are compared if they
     share a cell, so a few may be missed, fewer the more similar they are.
-    Exact copies beyond the k + 1 smallest of a group have only copies as
+    Exact copies beyond the k + 1 smallest ids of a group have only copies as
     neighbours, so they needn't be searched; however many there are, they are
-    never paired with each other.
+    never all paired with each other.
     """
     spark = vectors.sparkSession
     v = usable(vectors)
@@ -232,9 +244,8 @@ def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None =
                 names=["cell", "b1", "b2", "side", "id", "vec"],
             )
 
-    ranked = _with_rank(v, k)
-    first = ranked.where(F.col("place") <= k + 1).select("id", "vec")
-    put = first.mapInArrow(assign, "cell int, b1 int, b2 int, side int, id long, vec binary")
+    searched, copies = _split_copies(v, k)
+    put = searched.mapInArrow(assign, "cell int, b1 int, b2 int, side int, id long, vec binary")
 
     def meet(t: pa.Table) -> pa.Table:
         x, ids = _unit(_matrix(t.column("vec"))), t.column("id").to_numpy()
@@ -247,13 +258,7 @@ def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None =
         return pa.table({"id": pa.array(got[0], pa.int64()), "neighbour": pa.array(got[1], pa.int64()), "cosine": pa.array(got[2], pa.float64())})
 
     lists = put.groupBy("cell", "b1", "b2").applyInArrow(meet, _pairs_schema())
-    # The copies left out of the search: their neighbours are the smallest ids of their group.
-    copies = _with_rank(v, k).select("id", "h1", "h2", "place")
-    crowd = copies.where(F.col("place") == k + 2).select("h1", "h2").distinct()
-    small = copies.where(F.col("place") <= k + 1).join(crowd, ["h1", "h2"]).withColumn("p", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("p") <= k)
-    rest = copies.where(F.col("place") > k + 1).select("id", "h1", "h2").join(small.select("h1", "h2", F.col("id").alias("neighbour")), ["h1", "h2"])
-    lists = lists.unionByName(rest.select("id", "neighbour", F.lit(1.0).alias("cosine")))
-    return _ranked(lists, k)
+    return _ranked(lists.unionByName(copies), k)
 
 
 def _ranked(lists: DataFrame, k: int) -> DataFrame:
