@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from ..functions.vectors import dot, l2_normalise
@@ -29,7 +30,7 @@ def encode(df: DataFrame, item: str, make: Callable[[], Encoder], out: str = "ve
     Batches arrive by Arrow. An item that fails to encode should come back from
     the encoder as a zero row.
     """
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()

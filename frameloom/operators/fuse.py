@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import clamp, max_normalise, sigmoid
 from ..functions.text import contains_any
@@ -114,7 +115,7 @@ class Reranker(Protocol):
 
 def score_pairs(df: DataFrame, query: str, text: str, make: Callable[[], Reranker], out: str = "logit") -> DataFrame:
     """Add a logit column with a pluggable cross-encoder, made once for each worker process."""
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()

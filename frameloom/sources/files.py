@@ -66,7 +66,7 @@ def jsonl_violations(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are numbered within a file, which the text source reads whole per file here.
     """
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     lines = t.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("i", "line"))
     v = F.try_parse_json(F.col("line"))
     reason = F.when(F.trim("line") == "", "blank line").when(v.isNull(), "bad JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
@@ -118,7 +118,7 @@ def results_json(ranked: DataFrame) -> DataFrame:
 def read_results_json(spark: SparkSession, path: str) -> DataFrame:
     """The flat ranked table of a nested query -> approach -> list file."""
     item = "array<struct<rank:int,frame_id:string,score:double,stream_name:string,multi_angle:boolean>>"
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = raw.select(F.explode(F.from_json("value", f"map<string,map<string,{item}>>")).alias("query_id", "lists"))
     return m.select("query_id", F.explode("lists").alias("approach", "items")).select("query_id", "approach", F.inline("items"))
 
