@@ -36,28 +36,35 @@ def clean_hour(c: Column) -> Column:
     return F.when(n != "", n.cast("int"))
 
 
-def parse_frame(frame_id: Column, path: Column | None = None) -> Column:
+def _pieces(c: Column, pattern: str) -> Column:
+    """The four groups of a pattern that matches the whole text, by one evaluation of it; an empty array without a match."""
+    t = F.split(F.regexp_replace(c, pattern, "$1\u0001$2\u0001$3\u0001$4"), "\u0001", -1)
+    return F.filter(F.array(t), lambda x: F.size(x) == 4)
+
+
+def parse_frame(frame_id: Column, path: Column | None = None, strict: bool = False) -> Column:
     """Struct ``(stream, day, hour, frame_index)`` of a frame id and, where the id lacks a part, its path.
 
     Accepts any case, blanks around the id, leading zeros in the day, an id
     without the day, either kind of slash and doubled slashes in the path. A
-    part that neither names is null. The id wins where both name a part.
+    part that neither names is null. The id wins where both name a part. With
+    ``strict`` the whole struct is null unless all parts are known.
     """
-    i = squeeze(frame_id)
-    full = r"^(.+?)__(?:day0*(\d+)__)?(\d{1,2})_(\d{1,4})$"
-    part = lambda g: F.nullif(F.regexp_extract(i, full, g), F.lit(""))
-    stream, day, hour, idx = part(1), part(2), part(3), part(4)
-    if path is not None:
-        p = F.regexp_replace(squeeze(path), r"[\\/]+", "/")
-        rx = r"(?:^|/)day0*(\d+)/[^/]+/([^/]+)/(\d{1,2})_(\d{1,4})\.[a-z0-9]+$"
-        at = lambda g: F.nullif(F.regexp_extract(p, rx, g), F.lit(""))
-        stream, day, hour, idx = (F.coalesce(a, b) for a, b in ((stream, at(2)), (day, at(1)), (hour, at(3)), (idx, at(4))))
-    return F.struct(
-        stream.alias("stream"),
-        F.when(day.isNotNull(), F.concat(F.lit("day"), day)).alias("day"),
-        hour.cast("int").alias("hour"),
-        idx.cast("int").alias("frame_index"),
-    )
+    path = F.lit(None).cast("string") if path is None else path
+    i = _pieces(squeeze(frame_id), r"^(.+?)__(?:day0*(\d+)__)?(\d{1,2})_(\d{1,4})$")
+    p = _pieces(F.regexp_replace(squeeze(path), r"[\\/]+", "/"), r"^(?:.*/)?day0*(\d+)/[^/]+/([^/]+)/(\d{1,2})_(\d{1,4})\.[a-z0-9]+$")
+    none = F.array(F.array().cast("array<string>"))
+
+    def build(x: Column) -> Column:
+        part = lambda name, k: F.nullif(F.get(F.get(x[name], F.lit(0)), F.lit(k)), F.lit(""))
+        stream, day = F.coalesce(part("i", 0), part("p", 1)), F.coalesce(part("i", 1), part("p", 0))
+        hour, idx = F.coalesce(part("i", 2), part("p", 2)).cast("int"), F.coalesce(part("i", 3), part("p", 3)).cast("int")
+        whole = F.struct(stream.alias("stream"), F.when(day.isNotNull(), F.concat(F.lit("day"), day)).alias("day"), hour.alias("hour"), idx.alias("frame_index"))
+        return F.when(stream.isNotNull() & day.isNotNull() & hour.isNotNull() & idx.isNotNull(), whole) if strict else whole
+
+    # A one-element array binds the split texts to a name, so the patterns run once however often a part is used.
+    both = F.struct(F.coalesce(i, none).alias("i"), F.coalesce(p, none).alias("p"))
+    return F.get(F.transform(F.array(both), build), F.lit(0))
 
 
 def frame_id_of(stream: Column, day: Column, hour: Column, frame_index: Column) -> Column:

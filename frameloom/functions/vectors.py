@@ -17,8 +17,8 @@ def norm(a: Column) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     """Unit vector; an all-zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    # The norm is an argument, not part of the lambda, so it is computed once for a vector and not for each value.
+    return F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from ..functions.vectors import dot, l2_normalise
+from ..functions.vectors import dot, l2_normalise, norm
 
 #: Most query vectors a worker multiplies with a batch of rows; more are handled in several passes.
 MAX_QUERY_BLOCK = 4_096
@@ -67,12 +67,15 @@ def sparse_cosine(queries: DataFrame, docs: DataFrame, doc_key: str) -> DataFram
 def cosine_scores(queries: DataFrame, vectors: DataFrame, key: str = "frame_id") -> DataFrame:
     """``query_id, <key>, score``: every query with every row, ``queries(query_id, qvec)`` being a stated, checked set.
 
-    The product is computed with native array functions, rows normalised once.
+    The product is computed with native array functions; a zero vector scores 0.
     """
     check_query_set(queries)
-    q = queries.select("query_id", l2_normalise(F.col("qvec")).alias("qvec"))
-    v = vectors.select(key, l2_normalise(F.col("vec")).alias("vec"))
-    return v.join(F.broadcast(q), how="cross").select("query_id", key, F.round(dot(F.col("qvec"), F.col("vec")), 9).alias("score"))
+    # Norms are computed below the join, once for each row and each query.
+    q = queries.select("query_id", "qvec", norm(F.col("qvec")).alias("qn"))
+    v = vectors.select(key, "vec", norm(F.col("vec")).alias("vn"))
+    n = F.col("qn") * F.col("vn")
+    cos = F.when(n == 0, 0.0).otherwise(dot(F.col("qvec"), F.col("vec")) / n)
+    return v.join(F.broadcast(q), how="cross").select("query_id", key, F.round(cos, 9).alias("score"))
 
 
 def check_query_set(queries: DataFrame) -> None:

@@ -16,6 +16,7 @@ class Archive:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self._docs: DataFrame | None = None
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
@@ -33,7 +34,16 @@ class Archive:
         return ingest.archive_vectors(self.raw("siglip2_index"))
 
     def docs(self) -> DataFrame:
-        """Inverted-index documents: every frame with its transcript and caption text, missing ones empty."""
+        """Inverted-index documents: every frame with its transcript and caption text, missing ones empty.
+
+        Every field and statistic of the sparse approaches reads them, so they are kept (spilling to disk) for
+        this archive's plans; an index that outlives a session is written by the caller.
+        """
+        if self._docs is None:
+            self._docs = self._build_docs().persist()
+        return self._docs
+
+    def _build_docs(self) -> DataFrame:
         t = ingest.concat_text_by_frame(self.transcripts(), "raw_text").withColumnRenamed("text", "transcript_text")
         c = self.captions().select("frame_id", F.col("caption").alias("caption_text"))
         d = self.frames().select("frame_id", "stream_name").join(t, "frame_id", "left").join(c, "frame_id", "left")
