@@ -54,7 +54,7 @@ class LearnedIndex:
         return around[np.arange(len(q)), best]
 
 
-def nearest_join(left: DataFrame, right: DataFrame, tolerance: float, shard_sec: int = 3600, epsilon: int = 8, left_per_task: int = 200_000) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, tolerance: float, shard_sec: int = 21_600, epsilon: int = 8, left_per_task: int = 200_000) -> DataFrame:
     """Pair each left row with the right row of the same entity that is nearest in time.
 
     ``left`` has ``entity, t, left_id long``; ``right`` has ``entity, t, right_id
@@ -90,7 +90,10 @@ def nearest_join(left: DataFrame, right: DataFrame, tolerance: float, shard_sec:
         return pd.DataFrame({"left_id": a["left_id"].to_numpy()[ok], "right_id": b["right_id"].to_numpy()[at[ok]], "dt": dt[ok]})
 
     key = ["entity", "shard", "salt"]
-    return l.select(*key, "t", "left_id").groupBy(*key).cogroup(r.select(*key, "t", "right_id").groupBy(*key)).applyInPandas(one, "left_id long, right_id string, dt double")
+    # A stated number of partitions: by their few bytes the adaptive plan would put all shards into one or two tasks.
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l, r = l.select(*key, "t", "left_id").repartition(n, *key), r.select(*key, "t", "right_id").repartition(n, *key)  # noqa: E741
+    return l.groupBy(*key).cogroup(r.groupBy(*key)).applyInPandas(one, "left_id long, right_id string, dt double")
 
 
 def transcript_times(transcripts: DataFrame) -> DataFrame:
