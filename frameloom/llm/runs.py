@@ -114,7 +114,9 @@ def collapse_runs(events: DataFrame, max_gap: float, min_similarity: float = 1.0
         out.iloc[[0, -1], out.columns.get_loc("edge")] = 1
         return out[["entity", "block", "start_t", "end_t", "n", "state", "edge"]]
 
-    runs = e.select("entity", "block", "t", "state").groupBy("entity", "block").applyInPandas(one, RUN_SCHEMA)
+    # A stated number of partitions: by their few bytes the adaptive plan would put all blocks into one or two tasks.
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = e.select("entity", "block", "t", "state").repartition(n, "entity", "block").groupBy("entity", "block").applyInPandas(one, RUN_SCHEMA)
     keep = ["entity", "state", "start_t", "end_t", "n"]
     if not exact:
         return runs.select(*keep)
@@ -135,9 +137,8 @@ def tier_events(classified: DataFrame) -> DataFrame:
     readable tier (of equal times the alphabetically last; a null time is the
     earliest). Rows that name no frame are left out.
     """
-    f = parse_frame(F.col("frame_id"), F.col("full_path_resized"))
-    e = classified.select(f.alias("f"), read_tier(F.col("tier")).alias("state"), F.col("scored_at")).where("state is not null")
-    e = e.where("f.stream is not null and f.day is not null and f.hour is not null and f.frame_index is not null")
+    f = parse_frame(F.col("frame_id"), F.col("full_path_resized"), strict=True)
+    e = classified.select(f.alias("f"), read_tier(F.col("tier")).alias("state"), F.col("scored_at")).where("state is not null").where("f is not null")
     e = e.groupBy("f").agg(F.max(F.struct("scored_at", "state"))["state"].alias("state"))
     t = F.col("f.hour") * 3600 + offset_of(F.col("f.frame_index"))
     return e.select(F.concat_ws("__", "f.stream", "f.day").alias("entity"), t.cast("double").alias("t"), "state")
