@@ -149,6 +149,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where((F.size("vec") > 0) & ~odd & F.exists("vec", lambda x: x != 0))
 
 
+def _of_one_width(v: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of the most frequent vector length (of several the smallest), and their number."""
+    most = v.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    return (v.where(F.size("vec") == most[0].dim), most[0].n) if most else (v, 0)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if pa.types.is_binary(a.type) or pa.types.is_large_binary(a.type):
@@ -196,8 +202,8 @@ def _pairs_schema() -> str:
 def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, code_bits: int = 64, cells_each: int = CELLS_EACH, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``id, neighbour, cosine, rank``: up to k nearest by cosine for every usable row of ``vectors(id, vec)``.
 
-    Rows whose vector is null, empty, all zero or not finite take no part. A row
-    that comes twice is one row and not its own neighbour. Equal cosines are
+    Rows whose vector is null, empty, all zero, not finite or of another length
+    than most take no part. A row that comes twice is one row and not its own neighbour. Equal cosines are
     ranked by id. With ``min_cosine`` only neighbours of at least that cosine
     come out, and the codes' error bound drops most others unseen.
 
@@ -209,8 +215,7 @@ def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None =
     never all paired with each other.
     """
     spark = vectors.sparkSession
-    v = usable(vectors)
-    n = v.count()
+    v, n = _of_one_width(usable(vectors))
     if not n:
         return spark.createDataFrame([], _pairs_schema() + ", rank int")
     part = max(1, -(-n // SAMPLE_ROWS))
@@ -280,8 +285,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, code_bits: int =
     rules as in neighbour_lists hold for rows that take no part, rows that come
     twice and equal cosines.
     """
-    v, q = usable(vectors).dropDuplicates(["id"]), usable(queries).dropDuplicates(["id"])
-    shards = max(1, -(-v.count() // rows_per_task))
+    v, n = _of_one_width(usable(vectors))
+    if not n:
+        return vectors.sparkSession.createDataFrame([], _pairs_schema() + ", rank int")
+    q = usable(queries).where(F.size("vec") == v.select(F.size("vec")).first()[0]).dropDuplicates(["id"])
+    v = v.dropDuplicates(["id"])
+    shards = max(1, -(-n // rows_per_task))
     groups = max(1, -(-q.count() // queries_per_task))
 
     def spread(c: str, n: int) -> Column:

@@ -71,7 +71,7 @@ def test_upper_bound_holds_for_nearly_all_pairs(clustered):
 
 def test_rows_that_take_no_part_and_rows_twice(spark):
     nan = float("nan")
-    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, []), (None, [1.0, 0.0]), (7, [float("inf"), 1.0])]
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, []), (None, [1.0, 0.0]), (7, [float("inf"), 1.0]), (8, [1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "id int, vec array<float>")
     assert {(r.row_a, r.row_b) for r in nb.similar_pairs(df).collect()} == {(1, 2)}
     assert nb.similar_pairs(df.limit(0)).count() == 0
