@@ -195,6 +195,17 @@ def _split_copies(v: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return searched.dropDuplicates(["id"]), lists.where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
 
 
+def _searched_rows(v: DataFrame, k: int) -> int:
+    """About how many rows _split_copies leaves to search; a row that comes twice counts twice."""
+    g = v.groupBy(F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")).agg(F.count("*").alias("n"))
+    return g.agg(F.sum(F.least("n", F.lit(k + 1)))).first()[0]
+
+
+def _different(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` that differ in the fifth decimal, in their order."""
+    return x[np.sort(np.unique(np.round(x, 5) + 0.0, axis=0, return_index=True)[1])]
+
+
 def _pairs_schema() -> str:
     return "id long, neighbour long, cosine double"
 
@@ -208,7 +219,7 @@ def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None =
     come out, and the codes' error bound drops most others unseen.
 
     Every row is put into the cells of its ``cells_each`` nearest centroids,
-    fitted on at most about SAMPLE_ROWS rows; two rows are compared if they
+    fitted on the different ones of at most about SAMPLE_ROWS searched rows; two rows are compared if they
     share a cell, so a few may be missed, fewer the more similar they are.
     Exact copies beyond the k + 1 smallest ids of a group have only copies as
     neighbours, so they needn't be searched; however many there are, they are
@@ -218,14 +229,19 @@ def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None =
     v, n = _of_one_width(usable(vectors))
     if not n:
         return spark.createDataFrame([], _pairs_schema() + ", rank int")
+    searched, copies = _split_copies(v, k)
+    n = _searched_rows(v, k)
     part = max(1, -(-n // SAMPLE_ROWS))
-    sample = _unit(_matrix(v.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).limit(2 * SAMPLE_ROWS).select("vec").toArrow().column(0))) if n else np.zeros((0, 1))
+    sample = _unit(_matrix(searched.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).limit(2 * SAMPLE_ROWS).select("vec").toArrow().column(0)))
     if not len(sample):
-        sample = _unit(_matrix(v.limit(1000).select("vec").toArrow().column(0)))
+        sample = _unit(_matrix(searched.limit(1000).select("vec").toArrow().column(0)))
     sample = sample.astype(np.float32)
-    cells = int(max(1, min(MAX_CELLS, len(sample) // 4, n * cells_each // cell_rows)))
+    # Equal rows would start as equal centroids, of which k-means moves only one.
+    different = _different(sample)
+    cells = int(max(1, min(MAX_CELLS, len(different) // 4, n * cells_each // cell_rows)))
+    centroids = _different(fit_centroids(different, cells))
+    cells = len(centroids)
     each = min(cells_each, cells)
-    centroids = fit_centroids(sample, cells)
     # Sizes of the cells as the sample foretells them; a crowded cell is split into blocks.
     share = np.bincount(_nearest(sample, centroids, each).ravel(), minlength=cells) * (n / len(sample))
     blocks = np.maximum(1, np.ceil(share / MAX_CELL_ROWS)).astype(np.int64)
@@ -249,7 +265,6 @@ def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None =
                 names=["cell", "b1", "b2", "side", "id", "vec"],
             )
 
-    searched, copies = _split_copies(v, k)
     put = searched.mapInArrow(assign, "cell int, b1 int, b2 int, side int, id long, vec binary")
 
     def meet(t: pa.Table) -> pa.Table:

@@ -85,3 +85,27 @@ def test_many_exact_copies_are_never_paired_with_each_other(spark):
         got.setdefault(r.id, []).append((r.rank, r.neighbour))
     assert len(got) == 3000
     assert all([n for _, n in sorted(v)] == [j for j in range(4) if j != i][:3] for i, v in got.items())
+
+
+def crowd_and_near_ones(spark):
+    """A third of 6,000 rows copies of one vector, 40 different near neighbours of it in close twos, and the rest at random."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(64)
+    near = np.repeat(base + 0.25 * rng.standard_normal((20, 64)), 2, axis=0) + 0.05 * rng.standard_normal((40, 64))
+    x = np.concatenate([near, np.tile(base, (2000, 1)), rng.standard_normal((3960, 64))])
+    return x.astype(np.float32), frame(spark, x.astype(np.float32))
+
+
+def test_near_neighbours_of_a_third_of_copies_are_found_in_many_cells(spark):
+    x, df = crowd_and_near_ones(spark)
+    got = {}
+    for r in nb.neighbour_lists(df, min_cosine=0.85, cell_rows=24).where("id < 40").collect():
+        got.setdefault(r.id, set()).add(r.neighbour)
+    # The other of the two is nearer than the copies, which follow by id.
+    want = {i: {i ^ 1, *range(40, 49)} for i in range(40)}
+    assert sum(len(got.get(i, set()) & want[i]) for i in want) >= 0.98 * 10 * len(want)
+
+
+def test_equal_directions_give_one_centroid():
+    x = np.repeat(np.eye(3, dtype=np.float32)[[1, 0, 2]], [500, 1, 1], axis=0)
+    assert nb._different(x).tolist() == np.eye(3)[[1, 0, 2]].tolist()
