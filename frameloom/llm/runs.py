@@ -14,26 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import frame_id_of, offset_of, parse_frame, squeeze
-
-#: The readable tiers.
-TIERS = ("hot", "warm", "cold")
-_WIDE = "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0xFF41 + i) for i in range(26))
-_NARROW = "".join(chr(0x61 + i) for i in range(26)) * 2
+from ..functions.frames import frame_id_of, offset_of, parse_frame
+from ..functions.scores import read_tier
 
 RUN_SCHEMA = "entity string, block long, start_t double, end_t double, n long, state string, edge int"
 
 
-def read_tier(c: Column) -> Column:
-    """hot, warm or cold from its many spellings (case, blanks, full-width letters, decoration).
-
-    Null if none of the three words stands in the text, or more than one.
-    """
-    s = F.translate(squeeze(c), _WIDE, _NARROW)
-    found = F.array_distinct(F.regexp_extract_all(s, F.lit(rf"(?<![a-z])({'|'.join(TIERS)})(?![a-z])"), 1))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
-
-
 def agglomerate(times, states, max_gap: float, min_similarity: float) -> list[tuple[int, int, dict]]:
     """Runs ``(first, last, histogram)`` of one time-ordered sequence.
 

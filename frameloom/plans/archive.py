@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import frame_id_of, parse_frame, squeeze
+from ..functions.frames import frame_id_of, parse_frame
+from ..functions.scores import read_tier
 from ..functions.text import expand_query
 from ..operators import ingest
 from ..session import table
@@ -64,8 +65,8 @@ class Archive:
         return g.select(F.concat(F.lit("Q"), (F.col("n") + 1).cast("string")).alias("query_id"), "qvec")
 
     def tiers(self) -> DataFrame:
-        """``manifest_idx, frame_id, stream_name, day, hour, frame_index, relevance_score, best_query_id, tier``: the latest plainly tiered score of each frame."""
-        q = self.raw("qaff_classified").withColumn("t", squeeze(F.col("tier"))).where("t in ('hot', 'warm', 'cold') and relevance_score is not null")
+        """``manifest_idx, frame_id, stream_name, day, hour, frame_index, relevance_score, best_query_id, tier``: the latest score of each frame with a readable tier, however spelt."""
+        q = self.raw("qaff_classified").withColumn("t", read_tier(F.col("tier"))).where("t is not null and relevance_score is not null")
         q = q.groupBy("manifest_idx").agg(F.max(F.struct("scored_at", "t", "relevance_score", "best_query_id", "frame_id", "full_path_resized")).alias("r"))
         f = parse_frame(F.col("r.frame_id"), F.col("r.full_path_resized"))
         q = q.select("manifest_idx", f.alias("f"), F.col("r.t").alias("tier"), F.col("r.relevance_score").alias("relevance_score"), F.col("r.best_query_id").alias("best_query_id"))

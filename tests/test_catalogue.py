@@ -40,3 +40,32 @@ def test_query_equals_its_statement(spark, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["query_id", "frame_id", "score", "rank"] and df.count() > 0
+
+
+def test_tiers_are_read_in_any_spelling(spark, tmp_path):
+    from frameloom.plans.archive import Archive
+
+    rows = [(1, "a__day1__08_0001", "tier:warm", 0.15, "1"), (2, "a__day1__08_0002", "hot", 0.3, "1"), (2, "a__day1__08_0002", "\uff57\uff41\uff52\uff4d", 0.14, "2"), (3, "a__day1__08_0003", "<hot>", 0.25, "1"), (4, "a__day1__08_0004", "cold_tier", 0.05, "1"), (5, "a__day1__08_0005", "hot or cold", 0.1, "1"), (6, "a__day1__08_0006", "warm.", None, "1"), (7, "a__day1__08_0007", None, 0.2, "1")]
+    q = spark.createDataFrame([(i, f, None, s, 0, t, at) for i, f, t, s, at in rows], "manifest_idx int, frame_id string, full_path_resized string, relevance_score double, best_query_id int, tier string, scored_at string")
+    q.write.parquet(str(tmp_path / "qaff_classified.parquet"))
+    a = Archive(spark, str(tmp_path))
+    assert {(r.manifest_idx, r.tier, r.relevance_score) for r in a.tiers().collect()} == {(1, "warm", 0.15), (2, "warm", 0.14), (3, "hot", 0.25), (4, "cold", 0.05)}
+    assert [r.frame_id for r in a.qrels().collect()] == ["a__day1__08_0003"]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["tier_stats", "hot_by_query", "decimate", "temporal_dedup", "interval_overlap", "prefusion_gate"])
+def test_query_equals_its_statement_over_read_tiers(spark, name):
+    """The statements know plain tiers only, so they get a table whose tiers are read beforehand."""
+    import duckdb
+
+    c = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        c.execute(f"create view {p.stem} as select * from '{p}'")
+    narrow = "lower(translate(tier, 'ＡＣＤＨＬＭＯＲＴＷａｃｄｈｌｍｏｒｔｗ', 'acdhlmortwacdhlmortw'))"
+    word = lambda t: f"regexp_matches({narrow}, '(^|[^a-z]){t}([^a-z]|$)')"
+    read = "CASE " + " ".join(f"WHEN {word(t)} AND NOT {word(u)} AND NOT {word(v)} THEN '{t}'" for t, u, v in (("hot", "warm", "cold"), ("warm", "hot", "cold"), ("cold", "hot", "warm"))) + " END"
+    c.execute(f"create or replace view qaff_classified as select * replace ({read} as tier) from '{DATA}/qaff_classified.parquet'")
+    a = QUERIES[name](spark, str(DATA))
+    b = c.sql(ORACLE[name])
+    assert rows_of(a.columns, a.collect()) == rows_of(b.columns, b.fetchall())
