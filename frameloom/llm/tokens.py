@@ -182,7 +182,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     long = d.where(F.length("text") > chunk).select("doc_id", "text", n.alias("parts"))
     long = long.select("doc_id", "text", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
     long = long.select("doc_id", "k", "parts", F.substring(F.col("text"), F.col("k") * chunk + 1, F.when(F.col("k") == F.col("parts") - 1, 2 * chunk).otherwise(chunk + overlap)).alias("text"))
-    long = long.repartition("doc_id", "k")
+    # The chunks of a repeated row are the same and count once; they meet by the shuffle that spreads them.
+    long = long.repartition("doc_id", "k").dropDuplicates(["doc_id", "k"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

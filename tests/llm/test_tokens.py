@@ -60,3 +60,11 @@ def test_very_long_text(spark, reference):
     text = "The teapot isn't far  from the 27 chairs. " * 60_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert list(tk.encode_documents(df).first().ids) == reference.encode_ordinary(text)
+
+
+def test_repeated_rows_longer_than_a_chunk_come_out_once(spark, reference):
+    text = "Ein Satz, and another one; 12 numbers. " * 60
+    df = spark.createDataFrame([(1, text), (1, text), (1, text), (2, text + "end"), (3, "short"), (3, "short")], "doc_id long, text string")
+    for chunk, overlap in ((500, 100), (500, 1)):
+        got = sorted((r.doc_id, list(r.ids)) for r in tk.encode_documents(df, chunk=chunk, overlap=overlap).collect())
+        assert got == [(1, reference.encode_ordinary(text)), (2, reference.encode_ordinary(text + "end")), *[(3, reference.encode_ordinary("short"))] * 2]
