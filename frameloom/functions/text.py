@@ -30,6 +30,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(F.coalesce(c, F.lit("")), "\u0130", "I")), F.lit("[a-z0-9]+"), 0)
 
 
+def words(c: Column) -> Column:
+    """Like tokens, with the letters, marks and digits of any script."""
+    return F.regexp_extract_all(F.lower(F.translate(F.coalesce(c, F.lit("")), "\u0130", "I")), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
+
+
 def word_count(c: Column) -> Column:
     """White-space separated words; null and blank have 0."""
     t = F.trim(F.coalesce(c, F.lit("")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -10,9 +12,9 @@ from ..functions.text import tokens
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, text: str, key: str = "frame_id") -> DataFrame:
-    """``term, <key>, tf`` of a text column; counts are combined before the shuffle."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, text: str, key: str = "frame_id", split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``term, <key>, tf`` of a text column, cut into terms by ``split``; counts are combined before the shuffle."""
+    return docs.select(key, F.explode(split(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
 def field_stats(docs: DataFrame, text: str) -> DataFrame:
@@ -20,16 +22,16 @@ def field_stats(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avg_len"))
 
 
-def bm25(docs: DataFrame, text: str, queries: DataFrame, key: str = "frame_id", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, text: str, queries: DataFrame, key: str = "frame_id", k1: float = K1, b: float = B, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """``query_id, <key>, score`` (9 places) of every document with a query term; ``queries(query_id, query_text)``.
 
-    A query's terms count once. idf(t) = ln(N / (df + 1)) + 1. The documents
+    Texts and queries are cut into terms by ``split``. A query's terms count once. idf(t) = ln(N / (df + 1)) + 1. The documents
     are scanned once: only postings of query terms are kept, the query terms
     being the small side, and the document length travels with the posting.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
+    q = queries.select("query_id", F.explode(F.array_distinct(split(F.col("query_text")))).alias("term"))
     terms = q.select("term").distinct()
-    t = docs.select(key, tokens(F.col(text)).alias("toks")).withColumn("len", F.size("toks"))
+    t = docs.select(key, split(F.col(text)).alias("toks")).withColumn("len", F.size("toks"))
     p = t.select(key, "len", F.explode("toks").alias("term")).join(terms, "term", "left_semi").groupBy("term", key, "len").agg(F.count("*").alias("tf"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     stats = t.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))

@@ -554,8 +554,8 @@ def analyze(a: Archive) -> DataFrame:
 
 @query
 def postings(a: Archive) -> DataFrame:
-    """T4: inverted index of the documents table."""
-    return sparse.postings(a.raw("documents"), "text", "doc_id")
+    """T4: inverted index of the documents table, words of any script."""
+    return sparse.postings(a.raw("documents"), "text", "doc_id", ft.words)
 
 
 @query
@@ -572,8 +572,8 @@ def bm25_topk(a: Archive) -> DataFrame:
 
 @query
 def bm25_documents(a: Archive) -> DataFrame:
-    """T5: BM25 over the long documents, fifty best."""
-    return _six(dense.rank_topk(sparse.bm25(a.raw("documents"), "text", a.queries(), "doc_id"), 50, "doc_id"))
+    """T5: BM25 over the long documents, words of any script, fifty best."""
+    return _six(dense.rank_topk(sparse.bm25(a.raw("documents"), "text", a.queries(), "doc_id", split=ft.words), 50, "doc_id"))
 
 
 @query

@@ -69,3 +69,12 @@ def test_query_equals_its_statement_over_read_tiers(spark, name):
     a = QUERIES[name](spark, str(DATA))
     b = c.sql(ORACLE[name])
     assert rows_of(a.columns, a.collect()) == rows_of(b.columns, b.fetchall())
+
+
+def test_documents_are_indexed_by_words_of_any_script(spark, tmp_path):
+    spark.createDataFrame([(1, "Außen, quién derrière außen"), (2, "日本 час 42"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.term, r.doc_id, r.tf) for r in QUERIES["postings"](spark, str(tmp_path)).collect()}
+    assert got == {("außen", 1, 2), ("quién", 1, 1), ("derrière", 1, 1), ("日本", 2, 1), ("час", 2, 1), ("42", 2, 1)}
+    prompts = [("Q1", "Außen час", [], [], 0.5, 0.5), ("Q2", "en", [], [], 0.5, 0.5)]
+    spark.createDataFrame(prompts, "query_id string, query_text string, synonyms array<string>, location_hint array<string>, w_vis double, w_text double").write.parquet(str(tmp_path / "scene_prompts.parquet"))
+    assert {(r.query_id, r.doc_id) for r in QUERIES["bm25_documents"](spark, str(tmp_path)).collect()} == {("Q1", 1), ("Q1", 2)}
