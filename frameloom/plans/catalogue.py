@@ -139,8 +139,10 @@ def frame_index_of_marks(a: Archive) -> DataFrame:
 
 @query
 def chunk_filter(a: Archive) -> DataFrame:
-    """Chunks with text and positive length."""
-    t = a.transcripts().select("row_index", F.col("time_offset_sec").alias("start_sec"), (F.col("time_offset_sec") + F.col("frame_index") % 3).alias("end_sec"), F.col("raw_text").alias("text"))
+    """Chunks with text and positive length; a chunk ends where the next later one of its hour starts, the last with the hour."""
+    later = Window.partitionBy("stream_name", "day", "hour").orderBy(F.desc("time_offset_sec")).rangeBetween(Window.unboundedPreceding, -1)
+    end = F.coalesce(F.min("time_offset_sec").over(later), F.lit(3600))
+    t = a.transcripts().where("time_offset_sec is not null").select("row_index", F.col("time_offset_sec").alias("start_sec"), end.alias("end_sec"), F.col("raw_text").alias("text"))
     return ingest.valid_chunks(t).select("row_index", "start_sec", "end_sec")
 
 

@@ -78,3 +78,11 @@ def test_documents_are_indexed_by_words_of_any_script(spark, tmp_path):
     prompts = [("Q1", "Außen час", [], [], 0.5, 0.5), ("Q2", "en", [], [], 0.5, 0.5)]
     spark.createDataFrame(prompts, "query_id string, query_text string, synonyms array<string>, location_hint array<string>, w_vis double, w_text double").write.parquet(str(tmp_path / "scene_prompts.parquet"))
     assert {(r.query_id, r.doc_id) for r in QUERIES["bm25_documents"](spark, str(tmp_path)).collect()} == {("Q1", 1), ("Q1", 2)}
+
+
+def test_no_chunk_with_text_is_dropped_for_a_made_up_end(spark, tmp_path):
+    rows = [(1, "08", 1, 0, "a"), (2, "08", 3, 10, "b"), (3, "08", 3, 10, "c"), (4, "08", 6, 25, " "), (5, "08", 9, 40, "e"), (6, "09", 3, 10, "f")]
+    t = spark.createDataFrame([(i, None, "day1", "s", h, n, o, None, x) for i, h, n, o, x in rows], "row_index long, frame_id string, day string, stream_name string, hour string, frame_index int, time_offset_sec int, transcript_text string, raw_text string")
+    t.write.parquet(str(tmp_path / "transcript_aligned.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["chunk_filter"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 10), (2, 10, 25), (3, 10, 25), (5, 40, 3600), (6, 10, 3600)]
