@@ -17,19 +17,22 @@ def temporal_dedup(ranked: DataFrame, meta: DataFrame, window_sec: float = 10.0,
     stream alone, so equal offsets of different hours suppress each other.
 
     Only frames less than a window apart in time order can affect each other,
-    so every list is first cut at gaps; the fold runs over such islands, never
-    over a whole stream.
+    so every list is cut at gaps. Of equal offsets only the best can stay, so
+    the fold runs over at most one frame for each offset of an island.
     """
     cols = SCOPES[scope]
     m = meta.select("frame_id", *cols, F.col("time_offset_sec").cast("double").alias("_t"))
     # A frame without metadata is a lane of its own, so nothing can suppress it.
     lane = F.struct(*cols, F.when(F.col("_t").isNull(), F.col("frame_id")).alias("alone"))
     j = ranked.join(m, "frame_id", "left").withColumn("_lane", lane)
+    rest = [c for c in ranked.columns if c not in ("query_id", "frame_id", "score")]
+    item = F.struct((-F.col("score")).alias("s"), F.col("frame_id").alias("f"), F.col("_t").alias("t"), *[F.col(c) for c in rest])
     w = Window.partitionBy("query_id", "_lane").orderBy("_t")
+    if window_sec > 0:
+        before = F.lag("_t").over(Window.partitionBy("query_id", "_lane").orderBy(F.col("_t"), item))
+        j = j.withColumn("_best", F.coalesce(before != F.col("_t"), F.lit(True))).where("_best")
     j = j.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) >= window_sec).cast("int"), F.lit(0)))
     j = j.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rest = [c for c in ranked.columns if c not in ("query_id", "frame_id", "score")]
-    item = F.struct((-F.col("score")).alias("s"), F.col("frame_id").alias("f"), F.col("_t").alias("t"), *[F.col(c) for c in rest])
     g = j.groupBy("query_id", "_lane", "_island").agg(F.sort_array(F.collect_list(item)).alias("a"))
     near = lambda x, y: F.coalesce(F.abs(y["t"] - x["t"]) < window_sec, F.lit(False))
     kept = F.aggregate("a", F.slice("a", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: near(x, y)), acc).otherwise(F.concat(acc, F.array(x))))

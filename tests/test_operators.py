@@ -267,3 +267,16 @@ def test_joins(spark):
 def test_best_query_ties_and_rounding(spark):
     s = spark.createDataFrame([("a", 3, 0.19996), ("a", 1, 0.19996), ("b", 2, 0.1)], "frame_id string, query_id int, score double")
     assert {tuple(r) for r in curate.best_query_per_frame(s).collect()} == {("a", 1, 0.2, "hot"), ("b", 2, 0.1, "cold")}
+
+
+def test_dedup_gathers_one_frame_of_equal_offsets(spark, monkeypatch):
+    ranked = spark.createDataFrame([("Q1", f"f{d}_{t}", 1.0 / (1 + d) + t / 1000) for d in range(20) for t in range(6)] + [("Q1", "lost", 0.5), ("Q1", "lost", 0.5)], "query_id string, frame_id string, score double")
+    meta = spark.createDataFrame([(f"f{d}_{t}", "s", f"day{d}", 8, 5 * t) for d in range(20) for t in range(6)], "frame_id string, stream_name string, day string, hour int, time_offset_sec int")
+    sizes = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda n: sizes.add(n) or n, "int").asNondeterministic()
+    aggregate = F.aggregate
+    monkeypatch.setattr(rank.F, "aggregate", lambda c, *a: aggregate(F.slice(c, F.lit(1), count(F.size(c))), *a))
+    got = sorted(r.frame_id for r in rank.temporal_dedup(ranked, meta).collect())
+    # The best of each offset, by score 5, 3 and 1, and the two rows without metadata.
+    assert got == ["f0_1", "f0_3", "f0_5", "lost", "lost"]
+    assert sizes.value == 8
