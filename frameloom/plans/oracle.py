@@ -27,9 +27,28 @@ def _parse(i: str, p: str, g: int) -> str:
 
 _CANON = f"{_parse('frame_id', 'full_path_resized', 1)} || '__day' || {_parse('frame_id', 'full_path_resized', 2)} || '__' || printf('%02d_%04d', cast({_parse('frame_id', 'full_path_resized', 3)} AS integer), cast({_parse('frame_id', 'full_path_resized', 4)} AS integer))"
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+_ANY = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{M}}\p{{N}}]+')"
 _WORDS = r"CASE WHEN trim(coalesce({0}, '')) = '' THEN 0 ELSE len(regexp_split_to_array(trim({0}), '\s+')) END"
 _COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
 
+#: Full-width letters of the tiers' words, beside the plain ones.
+_NARROW = "lower(translate(tier, 'ＡＣＤＨＬＭＯＲＴＷａｃｄｈｌｍｏｒｔｗ', 'acdhlmortwacdhlmortw'))"
+
+
+#: Six places of a score that has nine, halves upwards.
+_SIX = "cast(round(cast(score AS decimal(18, 9)), 6) AS double) AS score"
+
+
+def _says(word: str) -> str:
+    return f"regexp_matches({_NARROW}, '(^|[^a-z]){word}([^a-z]|$)')"
+
+
+def _tier() -> str:
+    """The tier a text names, if it names one only."""
+    alone = lambda t, *others: f"WHEN {_says(t)} AND NOT ({' OR '.join(_says(o) for o in others)}) THEN '{t}'"
+    return f"CASE {alone('hot', 'warm', 'cold')} {alone('warm', 'hot', 'cold')} {alone('cold', 'hot', 'warm')} END"
+
+
 _CTE: dict[str, tuple[str, str]] = {
     "fr": ("", """SELECT stream_name || '__' || day || '__' || printf('%02d_%04d', hour, frame_index) AS frame_id, max(stream_name) AS stream_name, max(day) AS day, max(hour) AS hour, max(frame_index) AS frame_index,
         max(time_offset_sec) AS time_offset_sec, max(stream_type) AS stream_type, max(full_path) AS full_path,
@@ -47,9 +66,9 @@ _CTE: dict[str, tuple[str, str]] = {
         CASE WHEN w_text > w_vis THEN 'speech' ELSE 'visual' END AS qtype, w_vis, w_text
         FROM (SELECT query_id, query_text AS raw_query, list_filter(regexp_split_to_array(query_text || ' ' || array_to_string(synonyms, ' '), '\s+'), lambda x: x <> '') AS w, synonyms, location_hint, w_vis, w_text FROM scene_prompts)"""),
     "ti": ("", f"""SELECT manifest_idx, {_CANON} AS frame_id, {_parse('frame_id', 'full_path_resized', 1)} AS stream_name, 'day' || {_parse('frame_id', 'full_path_resized', 2)} AS day,
-        cast({_parse('frame_id', 'full_path_resized', 3)} AS integer) AS hour, cast({_parse('frame_id', 'full_path_resized', 4)} AS integer) AS frame_index, relevance_score, best_query_id, {_sq('tier')} AS tier
-        FROM qaff_classified WHERE {_sq('tier')} IN ('hot', 'warm', 'cold') AND relevance_score IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY manifest_idx ORDER BY scored_at DESC NULLS LAST, {_sq('tier')} DESC, relevance_score DESC, best_query_id DESC, frame_id DESC NULLS LAST, full_path_resized DESC NULLS LAST) = 1"""),
+        cast({_parse('frame_id', 'full_path_resized', 3)} AS integer) AS hour, cast({_parse('frame_id', 'full_path_resized', 4)} AS integer) AS frame_index, relevance_score, best_query_id, said AS tier
+        FROM (SELECT *, {_tier()} AS said FROM qaff_classified) WHERE said IS NOT NULL AND relevance_score IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY manifest_idx ORDER BY scored_at DESC NULLS LAST, said DESC, relevance_score DESC, best_query_id DESC, frame_id DESC NULLS LAST, full_path_resized DESC NULLS LAST) = 1"""),
     "qrels": ("ti", "SELECT DISTINCT 'Q' || (best_query_id + 1) AS query_id, frame_id FROM ti WHERE tier = 'hot'"),
     "ev": ("ti", "SELECT 'Q' || (arg_max(best_query_id, manifest_idx) + 1) AS query_id, frame_id, arg_max(relevance_score, manifest_idx) AS score FROM ti WHERE frame_id IS NOT NULL GROUP BY frame_id"),
     "gtext": ("tr", "SELECT frame_id, coalesce(string_agg(raw_text, ' ' ORDER BY row_index) FILTER (trim(coalesce(raw_text, '')) <> ''), '') AS text FROM tr WHERE frame_id IS NOT NULL GROUP BY 1"),
@@ -106,8 +125,8 @@ _top("dtx", "tk", exact=True)
 _top("dc", "ck")
 
 
-def _bm25(name: str, source: str, key: str, text: str, needs: str) -> None:
-    _CTE[f"{name}t"] = (needs, f"SELECT {key}, {_TOK.format(text)} AS w FROM {source}")
+def _bm25(name: str, source: str, key: str, text: str, needs: str, split: str = _TOK) -> None:
+    _CTE[f"{name}t"] = (needs, f"SELECT {key}, {split.format(text)} AS w FROM {source}")
     _CTE[f"{name}s"] = (f"{name}t", f"SELECT count(*) AS n_docs, avg(len(w)) AS avg_len FROM {name}t")
     _CTE[f"{name}p"] = (f"{name}t,qterm", f"SELECT term, {key}, n, count(*) AS tf FROM (SELECT {key}, len(w) AS n, unnest(w) AS term FROM {name}t) WHERE term IN (SELECT term FROM qterm) GROUP BY ALL")
     _CTE[f"{name}d"] = (f"{name}p", f"SELECT term, count(*) AS df FROM {name}p GROUP BY 1")
@@ -116,7 +135,7 @@ def _bm25(name: str, source: str, key: str, text: str, needs: str) -> None:
 
 _bm25("bmcap", "docs", "frame_id", "caption_text", "docs")
 _bm25("bmtr", "docs", "frame_id", "transcript_text", "docs")
-_bm25("bmdoc", "documents", "doc_id", "text", "")
+_bm25("bmdoc", "documents", "doc_id", "text", "", _ANY)
 
 #: Clean tables p(raw, clean) for T1.
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
@@ -160,7 +179,7 @@ _RANK = "cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fram
 _FINISH = f""",
 fl AS (SELECT dd.*, stream_name, hour, time_offset_sec, timestamp_str IS NOT NULL AND coalesce(min(stream_name) OVER s <> max(stream_name) OVER s, false) AS multi_angle FROM dd LEFT JOIN fr USING (frame_id) WINDOW s AS (PARTITION BY query_id, timestamp_str)),
 fin AS (SELECT query_id, {_RANK}, frame_id, score, coalesce(stream_name, 'unknown') AS stream_name, multi_angle, hour, time_offset_sec FROM fl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) <= 10)"""
-_OUT = f"SELECT query_id, frame_id, round(score, 6) AS score, {_RANK} FROM "
+_OUT = f"SELECT query_id, frame_id, {_SIX}, {_RANK} FROM "
 _LOGIT = f"""
 lg AS (SELECT l.query_id, l.frame_id, l.score, 4 * len(list_intersect(list_distinct({_TOK.format('q.query_text')}), list_distinct({_TOK.format("coalesce(nullif(cap.caption, ''), fr.stream_name, 'unknown')")}))) / greatest(1, len(list_distinct({_TOK.format('q.query_text')}))) - 2 AS logit
   FROM {{0}} l JOIN q USING (query_id) LEFT JOIN cap USING (frame_id) LEFT JOIN fr USING (frame_id)),
@@ -209,7 +228,9 @@ ORACLE: dict[str, str] = {
     "shard_keys": _with("fr", "SELECT concat_ws('__', day, stream_type, stream_name) AS shard, count(*) AS n FROM fr GROUP BY 1"),
     "frame_times": _with("fr", f"SELECT frame_id, (frame_index - 1) * 5 AS offset_sec, {_hms('(hour * 3600 + (frame_index - 1) * 5)')} AS clock FROM fr"),
     "frame_index_of_marks": "SELECT DISTINCT mark_id, cast(round_even(floor(mark_sec) / 2 / 5, 0) AS integer) + 1 AS frame_index FROM voice_marks",
-    "chunk_filter": _with("tr", "SELECT row_index, time_offset_sec AS start_sec, time_offset_sec + frame_index % 3 AS end_sec FROM tr WHERE time_offset_sec IS NOT NULL AND frame_index % 3 > 0 AND trim(coalesce(raw_text, '')) <> ''"),
+    "chunk_filter": _with("tr", """SELECT row_index, start_sec, end_sec FROM (
+        SELECT x.row_index, x.time_offset_sec AS start_sec, coalesce((SELECT min(y.time_offset_sec) FROM tr y WHERE y.stream_name = x.stream_name AND y.day = x.day AND y.hour = x.hour AND y.time_offset_sec > x.time_offset_sec), 3600) AS end_sec, x.raw_text
+        FROM tr x WHERE x.time_offset_sec IS NOT NULL) WHERE end_sec > start_sec AND trim(coalesce(raw_text, '')) <> ''"""),
     "parse_frame_ids": f"SELECT DISTINCT ON (manifest_idx, q.frame_id, full_path_resized) manifest_idx, coalesce(q.frame_id = lower(q.frame_id) AND regexp_matches(q.frame_id, '^[^_]+__day[0-9]+__[0-9]{{2}}_[0-9]{{4}}$'), false) AS was_valid, {_CANON} AS frame_id FROM qaff_classified q",
     "parse_hms": _with("fr", "SELECT frame_id, cast(split_part(timestamp_str, ':', 1) AS double) * 3600 + cast(split_part(timestamp_str, ':', 2) AS double) * 60 + cast(split_part(timestamp_str, ':', 3) AS double) AS sec FROM fr"),
     "caption_filter": _with("cap", f"SELECT frame_id, CASE WHEN {_WORDS.format('caption')} < 5 THEN NULL WHEN length(trim(coalesce(ocr_text, ''))) >= 2 THEN caption || ' ' || trim(ocr_text) ELSE caption END AS caption FROM cap"),
@@ -278,10 +299,10 @@ ORACLE: dict[str, str] = {
     "clean_text": _with("tr", f"SELECT row_index, {_clean('raw_text')} AS raw_text, {_clean('transcript_text')} AS transcript_text FROM tr"),
     "expand_query": _with("q", "SELECT query_id, query_text AS expanded FROM q"),
     "analyze": _with("cap", f"SELECT frame_id, unnest(range(0, len(t))) AS pos, unnest(t) AS token FROM (SELECT frame_id, list_filter({_TOK.format('caption')}, lambda w: NOT list_contains({_STOP}, w)) AS t FROM cap)"),
-    "postings": f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2",
+    "postings": f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_ANY.format('text')}) AS term FROM documents) GROUP BY 1, 2",
     "field_stats": _with("docs", f"SELECT count(*) AS n_docs, round(avg(len({_TOK.format('caption_text')})), 6) AS avg_len FROM docs"),
-    "bm25_topk": _with("bmcap", f"SELECT * FROM (SELECT query_id, frame_id, round(score, 6) AS score, {_RANK} FROM bmcap) WHERE rank <= 50"),
-    "bm25_documents": _with("bmdoc", f"SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {_RANK.replace('frame_id', 'doc_id')} FROM bmdoc) WHERE rank <= 50"),
+    "bm25_topk": _with("bmcap", f"SELECT * FROM (SELECT query_id, frame_id, {_SIX}, {_RANK} FROM bmcap) WHERE rank <= 50"),
+    "bm25_documents": _with("bmdoc", f"SELECT * FROM (SELECT query_id, doc_id, {_SIX}, {_RANK.replace('frame_id', 'doc_id')} FROM bmdoc) WHERE rank <= 50"),
     "bm25_combined": _with("ab", "SELECT query_id, frame_id, round(score, 6) AS score FROM ab"),
     "approach_a": _with("a", _OUT + "a"),
     "l2_normalise": _with("vec", "SELECT manifest_row_index, round(list_sum(vec) / sqrt(list_dot_product(vec, vec)), 6) AS total, round(list_max(vec) / sqrt(list_dot_product(vec, vec)), 6) AS top FROM vec"),

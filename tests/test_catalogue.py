@@ -23,7 +23,7 @@ def rows_of(columns, rows):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["scan_frames", "ocr_gate", "decimate", "sliding_transcript", "temporal_dedup", "bm25_topk", "fusion_topk", "interval_overlap", "rocchio", "qaff_score", "prefusion_gate"])
+@pytest.mark.parametrize("name", ["scan_frames", "ocr_gate", "decimate", "sliding_transcript", "temporal_dedup", "bm25_topk", "fusion_topk", "interval_overlap", "rocchio", "qaff_score", "prefusion_gate", "tier_stats", "hot_by_query", "postings", "chunk_filter"])
 def test_query_equals_its_statement(spark, name):
     import duckdb
 
@@ -53,24 +53,6 @@ def test_tiers_are_read_in_any_spelling(spark, tmp_path):
     assert [r.frame_id for r in a.qrels().collect()] == ["a__day1__08_0003"]
 
 
-@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["tier_stats", "hot_by_query", "decimate", "temporal_dedup", "interval_overlap", "prefusion_gate"])
-def test_query_equals_its_statement_over_read_tiers(spark, name):
-    """The statements know plain tiers only, so they get a table whose tiers are read beforehand."""
-    import duckdb
-
-    c = duckdb.connect()
-    for p in DATA.glob("*.parquet"):
-        c.execute(f"create view {p.stem} as select * from '{p}'")
-    narrow = "lower(translate(tier, 'ＡＣＤＨＬＭＯＲＴＷａｃｄｈｌｍｏｒｔｗ', 'acdhlmortwacdhlmortw'))"
-    word = lambda t: f"regexp_matches({narrow}, '(^|[^a-z]){t}([^a-z]|$)')"
-    read = "CASE " + " ".join(f"WHEN {word(t)} AND NOT {word(u)} AND NOT {word(v)} THEN '{t}'" for t, u, v in (("hot", "warm", "cold"), ("warm", "hot", "cold"), ("cold", "hot", "warm"))) + " END"
-    c.execute(f"create or replace view qaff_classified as select * replace ({read} as tier) from '{DATA}/qaff_classified.parquet'")
-    a = QUERIES[name](spark, str(DATA))
-    b = c.sql(ORACLE[name])
-    assert rows_of(a.columns, a.collect()) == rows_of(b.columns, b.fetchall())
-
-
 def test_documents_are_indexed_by_words_of_any_script(spark, tmp_path):
     spark.createDataFrame([(1, "Außen, quién derrière außen"), (2, "日本 час 42"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.term, r.doc_id, r.tf) for r in QUERIES["postings"](spark, str(tmp_path)).collect()}
