@@ -1,17 +1,17 @@
 """Problem 5: repetition inside a single document.
 
-Every text gets a few rule statistics. An isolation forest of random splits,
+Every text gets cheap rule statistics: how many of its words, and of its pairs
+of neighbouring words, aren't its first. An isolation forest of random splits,
 grown on a bounded sample, turns them into path lengths: a text that few splits
-isolate is an anomaly. The threshold comes from labelled rows. Where a case is
-defined by a rule, the threshold is lowered to the smallest score that any text
-of the rule's region can have, so no case falls below it, and the candidates
-are checked exactly.
+isolate is an anomaly. The threshold is calibrated on the sample's rows, which
+the exact rule has labelled, and lowered to the smallest score that a text of
+the rule's region can have, so no case falls below it. The exact share is
+computed only for the texts the forest lets through.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,37 +22,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-#: Rule statistics, all between 0 and 1.
-FEATURES = ("repeated_share", "old_word_share", "old_trigram_share", "top_word_share")
-#: Rows the forest is grown on and its threshold calibrated with, rows of one tree, trees.
+#: Rule statistics, all between 0 and 1: words, and pairs of neighbouring words, that have stood before in the text.
+FEATURES = ("old_word_share", "old_pair_share")
+#: Rows the forest is grown on and its threshold calibrated with (at most), rows of one tree, trees.
 SAMPLE_ROWS, TREE_ROWS, TREES = 20_000, 256, 64
 MIN_WORDS, MIN_SHARE = 8, 0.4
-#: What a repeated_share of s implies: a repeated word has stood before, and one repeated trigram covers three words at most.
-LEAST = lambda s: (s, s, s / 3, 0.0)
+
+
+def least_features(share: float) -> tuple[float, float]:
+    """What a repeated share implies: its words have stood before, and of three repeated words at least two pairs have."""
+    return share, share * 2 / 3
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold()) if text else []
 
 
-def statistics(text: str | None) -> tuple[int, float, float, float, float]:
-    """Number of words and the FEATURES of one text; a text without words has zeros."""
-    w = words_of(text)
-    n = len(w)
-    if not n:
-        return 0, 0.0, 0.0, 0.0, 0.0
+def cheap_statistics(words: list[str]) -> tuple[float, float]:
+    """The FEATURES of a text's words; fewer than two words have zeros."""
+    n = len(words)
+    if n < 2:
+        return 0.0, 0.0
+    return 1 - len(set(words)) / n, 1 - len(set(zip(words, words[1:]))) / (n - 1)
+
+
+def repeated_share(words: list[str]) -> float:
+    """Share of the words that lie in three consecutive ones which already stood in the same order earlier; 0 without words."""
     seen: set[tuple[str, str, str]] = set()
-    covered, until, old = 0, 0, 0
-    for i in range(n - 2):
-        t = (w[i], w[i + 1], w[i + 2])
+    covered, until = 0, 0
+    for i, t in enumerate(zip(words, words[1:], words[2:])):
         if t in seen:
-            old += 1
             covered += i + 3 - max(i, until)
             until = i + 3
         else:
             seen.add(t)
-    c = Counter(w)
-    return n, covered / n, 1 - len(c) / n, old / max(1, n - 2), (max(c.values()) - 1) / n
+    return covered / len(words) if words else 0.0
 
 
 def _c(n: int) -> float:
@@ -127,53 +131,84 @@ class IsolationForest:
         return float(self._score(total / len(self.trees)))
 
 
-def text_statistics(texts: DataFrame) -> DataFrame:
-    """``text_field, row_key, n_words`` and FEATURES for each row of ``texts(text_field, row_key, text)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = list(zip(*map(statistics, b.column(2).to_pylist()))) or [[]] * 5
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(got[0], pa.int32()), *(pa.array(g, pa.float64()) for g in got[1:])], names=["text_field", "row_key", "n_words", *FEATURES])
-
-    d = texts.select(F.col("text_field").cast("string").alias("text_field"), F.col("row_key").cast("long").alias("row_key"), "text")
-    return d.mapInArrow(run, "text_field string, row_key long, n_words int, " + ", ".join(f"{f} double" for f in FEATURES))
+def _keyed(texts: DataFrame) -> DataFrame:
+    return texts.where("row_key is not null").select(F.col("text_field").cast("string").alias("text_field"), F.col("row_key").cast("long").alias("row_key"), "text")
 
 
-def fit(stats: DataFrame, sample_rows: int = SAMPLE_ROWS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> tuple[IsolationForest, float]:
-    """Forest and threshold from at most ``sample_rows`` rows, picked by a hash of their keys.
+def fit(texts: DataFrame, sample_rows: int = SAMPLE_ROWS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> tuple[IsolationForest, float]:
+    """Forest and threshold from at most ``sample_rows`` rows of ``texts(text_field, row_key, text)``.
 
-    The sample's rows are labelled by the rule (enough words, enough repeated).
-    The threshold is the lowest score of a positive row, or the forest's lowest
+    The rows are picked by a hash of their keys before any text is read. Those
+    of at least ``min_words`` words are labelled by the exact rule. The
+    threshold is the lowest score of a positive row, or the forest's lowest
     score over the rule's whole region if that is lower, which makes the
     candidate step lossless for the rule.
     """
-    picked = stats.where(F.col("n_words") >= min_words).orderBy(F.xxhash64("text_field", "row_key"), "row_key").limit(sample_rows).toPandas()
-    x = picked[list(FEATURES)].to_numpy(dtype=float).reshape(len(picked), len(FEATURES))
+    d = _keyed(texts)
+    n = d.count()
+    h = F.pmod(F.xxhash64("text_field", "row_key"), F.lit(1 << 30))
+    picked = d.where(h < int(min(1.0, 0.9 * sample_rows / max(n, 1)) * (1 << 30)) if n > sample_rows else F.lit(True))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = [x for x in map(words_of, b.column(2).to_pylist()) if len(x) >= min_words]
+            f = np.array([cheap_statistics(x) for x in w], dtype=float).reshape(len(w), len(FEATURES))
+            yield pa.record_batch([*(pa.array(f[:, i]) for i in range(len(FEATURES))), pa.array([repeated_share(x) >= min_share for x in w], pa.bool_())], names=[*FEATURES, "positive"])
+
+    got = picked.mapInArrow(label, ", ".join(f"{f} double" for f in FEATURES) + ", positive boolean").limit(sample_rows).toPandas()
+    # Sorted, so that the forest doesn't depend on the order in which tasks end.
+    got = got.sort_values([*FEATURES, "positive"])
+    x = got[list(FEATURES)].to_numpy(dtype=float).reshape(len(got), len(FEATURES))
     forest = IsolationForest(x)
-    positive = picked["repeated_share"].to_numpy() >= min_share if len(picked) else np.zeros(0, bool)
+    positive = got["positive"].to_numpy(dtype=bool)
     calibrated = float(forest.score(x[positive]).min()) if positive.any() else 1.0
-    return forest, min(calibrated, forest.least_score(LEAST(min_share))) - 1e-9
+    return forest, min(calibrated, forest.least_score(least_features(min_share))) - 1e-9
 
 
-def repetition(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``text_field, row_key, n_words, repeated_share, anomaly, suspicious`` of each distinct row.
+def candidates(texts: DataFrame, sample_rows: int = SAMPLE_ROWS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+    """``text_field, row_key, n_words, anomaly, repeated_share`` of the texts that the forest lets through.
+
+    One pass over the texts: cheap statistics and the forest's score for each
+    of at least ``min_words`` words, the exact share only for those whose score
+    reaches the threshold. Null, empty and short texts are no candidates; rows
+    that come twice come out twice.
+    """
+    forest, threshold = fit(texts, sample_rows, min_words, min_share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = list(map(words_of, b.column(2).to_pylist()))
+            at = [i for i, w in enumerate(words) if len(w) >= min_words]
+            x = np.array([cheap_statistics(words[i]) for i in at], dtype=float).reshape(len(at), len(FEATURES))
+            score = forest.score(x)
+            some = np.flatnonzero(score >= threshold)
+            rows = pa.array([at[i] for i in some], pa.int64())
+            w = [words[i] for i in rows.to_pylist()]
+            yield pa.record_batch(
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array([len(x) for x in w], pa.int32()), pa.array(score[some]), pa.array([repeated_share(x) for x in w], pa.float64())],
+                names=["text_field", "row_key", "n_words", "anomaly", "repeated_share"],
+            )
+
+    return _keyed(texts).mapInArrow(run, "text_field string, row_key long, n_words int, anomaly double, repeated_share double")
+
+
+def repetition(texts: DataFrame) -> DataFrame:
+    """``text_field, row_key, n_words, repeated_share`` of each distinct row of ``texts(text_field, row_key, text)``.
 
     ``repeated_share`` is the share of words lying in three consecutive words
     that already stood in the same order earlier in the text. Null, empty and
     wordless texts have 0 words and share 0; case is ignored; a word is a
     stretch of letters (with their marks) and digits. Whole texts are read,
-    however long. Rows that come twice come out once.
+    however long. Rows that come twice come out once; rows without a key are
+    left out.
     """
-    stats = text_statistics(texts.where("row_key is not null"))
-    forest, threshold = fit(stats, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.column_stack([b.column(3 + i).to_numpy(zero_copy_only=False) for i in range(len(FEATURES))])
-            score = forest.score(x)
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(score), pa.array(score >= threshold)], names=["text_field", "row_key", "n_words", "repeated_share", "anomaly", "suspicious"])
+            w = list(map(words_of, b.column(2).to_pylist()))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(x) for x in w], pa.int32()), pa.array([repeated_share(x) for x in w], pa.float64())], names=["text_field", "row_key", "n_words", "repeated_share"])
 
-    return stats.mapInArrow(run, "text_field string, row_key long, n_words int, repeated_share double, anomaly double, suspicious boolean").distinct()
+    return _keyed(texts).mapInArrow(run, "text_field string, row_key long, n_words int, repeated_share double").distinct()
 
 
 def archive_texts(captions: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -186,6 +221,5 @@ def archive_texts(captions: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def found(texts: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """The texts that are mostly repetition: the forest's candidates, then the exact rule."""
-    r = repetition(texts).where("suspicious").where((F.col("n_words") >= min_words) & (F.col("repeated_share") >= min_share))
-    return r.select("text_field", "row_key").distinct()
+    """``text_field, row_key`` of the texts that are mostly repetition: those the forest lets through, and of them the ones the exact rule confirms."""
+    return candidates(texts, min_words=min_words, min_share=min_share).where(F.col("repeated_share") >= min_share).select("text_field", "row_key").distinct()

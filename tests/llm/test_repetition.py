@@ -19,21 +19,34 @@ def brute(text):
 @given(st.lists(st.sampled_from(["a", "b", "C", "dé", "e1", "!"]), max_size=40))
 def test_share_equals_brute_force(words):
     text = " ".join(words)
-    assert rp.statistics(text)[:2] == pytest.approx(brute(text))
+    w = rp.words_of(text)
+    n, share = brute(text)
+    assert len(w) == n and rp.repeated_share(w) == pytest.approx(share)
+    assert all(a >= b - 1e-12 for a, b in zip(rp.cheap_statistics(w), rp.least_features(share)))
 
 
 def test_overlap_counts():
-    assert rp.statistics("go go go go")[:2] == (4, 0.75)
-    assert rp.statistics(None) == rp.statistics("") == rp.statistics(" ... ") == (0, 0.0, 0.0, 0.0, 0.0)
+    assert rp.repeated_share(rp.words_of("go go go go")) == 0.75
+    assert rp.repeated_share(rp.words_of(None)) == rp.repeated_share(rp.words_of(" ... ")) == 0.0
+    assert rp.cheap_statistics([]) == rp.cheap_statistics(["a"]) == (0.0, 0.0)
 
 
 def test_forest_scores_anomalies_higher_and_bounds_a_region():
     rng = np.random.default_rng(0)
-    x = np.column_stack([rng.uniform(0, 0.1, 2000), rng.uniform(0, 0.3, 2000), rng.uniform(0, 0.05, 2000), rng.uniform(0, 0.2, 2000)])
+    x = np.column_stack([rng.uniform(0, 0.2, 2000), rng.uniform(0, 0.1, 2000)])
     f = rp.IsolationForest(x)
-    odd = np.column_stack([rng.uniform(0.4, 1, 500), rng.uniform(0.4, 1, 500), rng.uniform(0.4 / 3, 1, 500), rng.uniform(0, 1, 500)])
+    odd = np.column_stack([rng.uniform(0.4, 1, 500), rng.uniform(0.8 / 3, 1, 500)])
     assert f.score(odd).mean() > f.score(x).mean() + 0.1
-    assert f.score(odd).min() >= f.least_score(rp.LEAST(0.4)) - 1e-12
+    assert f.score(odd).min() >= f.least_score(rp.least_features(0.4)) - 1e-12
+
+
+def test_the_forest_keeps_most_texts_from_the_exact_rule(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(vocab, 40)) for _ in range(2000)] + [" ".join([*rng.choice(vocab, 5)] * 6) for _ in range(20)]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "text_field string, row_key long, text string")
+    c = rp.candidates(df, sample_rows=500)
+    assert 20 <= c.count() < 300 and c.where("repeated_share >= 0.4").count() == 20
 
 
 def test_found_loses_nothing_and_handles_odd_rows(spark):
