@@ -14,15 +14,29 @@ For a stated query set (``search``) all codes are scanned, in blocks.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows the centroids are fitted on (the index holds every row), rows wanted in a cell, cells a row is put into.
-SAMPLE_ROWS, CELL_ROWS, CELLS_EACH, MAX_CELLS = 50_000, 1_200, 6, 8_192
-#: Larger cells are split into blocks that meet pairwise.
-MAX_CELL_ROWS = 8_000
+#: Rows and bytes of the sample that the centroids are fitted on (the index holds every row); rows at home in a cell.
+SAMPLE_ROWS, SAMPLE_BYTES, HOME_ROWS = 50_000, 64 << 20, 200
+#: Centroids of the first level; with more rows than they have homes for, crowded cells get a second level of their own.
+MAX_CELLS = 4_096
+#: Cells a row is put into at most, and how much less than its nearest centroid's cosine another one's may be.
+CELLS_EACH, MARGIN = 6, 0.06
+#: Rows of a cell that are compared without a second level, and rows at home in a cell of that level.
+SPLIT_ROWS, SUB_HOME_ROWS = 6_000, 600
+#: Bytes of vectors that one task takes; cells beyond it are cut into blocks that meet pairwise.
+TASK_BYTES = 64 << 20
+#: Rows whose cells are packed together before they are sent, and comparisons that a task of the exchange is planned for.
+PACK_ROWS, TASK_PAIRS = 65_536, 100_000_000
+#: Groups of exact copies up to which their keys are broadcast (20 bytes each).
+BROADCAST_GROUPS = 500_000
 #: Width of the error bound in standard errors of the estimate.
 EPSILON = 3.0
 _QUERY_BITS = 4
@@ -84,6 +98,16 @@ def upper_cosines(q: Questions, rows: slice, c: Codes) -> np.ndarray:
     return up
 
 
+def _kth(a: np.ndarray, value: np.ndarray, k: int, n: int) -> np.ndarray:
+    """The k-th largest value of each of n rows, ``a`` holding the row of each value in order; -8 where a row has fewer."""
+    out = np.full(n, -8.0, dtype=np.float32)
+    order = np.lexsort((-value, a))
+    at = np.searchsorted(a, np.arange(n), side="left") + k - 1
+    ok = at < np.searchsorted(a, np.arange(n), side="right")
+    out[ok] = value[order[at[ok]]]
+    return out
+
+
 def best_of(qx: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, min_cosine: float | None, code_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query id, neighbour id, cosine)`` of the k best of ``x`` for each query, itself left out.
 
@@ -107,16 +131,16 @@ def best_of(qx: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
             floor = np.maximum(floor, -np.partition(-near, k - 1, axis=1)[:, k - 1] - 1e-5)
         want = up >= floor[:, None]
         if want.mean() > 0.02:
-            # Too many to pick one by one: the exact product of the block, and its best with a reserve.
-            near = np.where(want, q32[rows] @ x32.T, -9)
-            m = min(k + 6, near.shape[1])
-            b = np.argpartition(-near, m - 1, axis=1)[:, :m]
-            a = np.repeat(np.arange(len(b)), m)
-            b = b.ravel()
-            ok = want[a, b]
-            a, b = a[ok], b[ok]
+            # Too many to pick one by one: the whole product of the block gives the same numbers.
+            near = q32[rows] @ x32.T
+            a, b = np.nonzero(want)
+            near = near[a, b]
         else:
             a, b = np.nonzero(want)
+            near = np.concatenate([np.einsum("nd,nd->n", q32[at + a[s : s + 65_536]], x32[b[s : s + 65_536]]) for s in range(0, len(a), 65_536)]) if len(a) else np.zeros(0, np.float32)
+        # All that single precision leaves among the k best stay, however many ties there are.
+        ok = near >= np.maximum(floor, _kth(a, near, k, rows.stop - at))[a] - 1e-5
+        a, b = a[ok], b[ok]
         cos = np.concatenate([np.einsum("nd,nd->n", qx[at + a[s : s + 65_536]], x[b[s : s + 65_536]]) for s in range(0, len(a), 65_536)]) if len(a) else np.zeros(0)
         if min_cosine is not None:
             ok = cos >= min_cosine
@@ -149,19 +173,33 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.where((F.size("vec") > 0) & ~odd & F.exists("vec", lambda x: x != 0))
 
 
-def _of_one_width(v: DataFrame) -> tuple[DataFrame, int]:
-    """The rows of the most frequent vector length (of several the smallest), and their number."""
-    most = v.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    return (v.where(F.size("vec") == most[0].dim), most[0].n) if most else (v, 0)
+def _census(v: DataFrame, k: int):
+    """Of the most frequent vector length (of several the smallest): ``dim``, its rows ``n``, those to search, groups of more than k + 1 copies, and ``rest``, the rows of other lengths. None for no rows."""
+    g = v.groupBy(F.size("vec").alias("dim"), *_copy_key()).agg(F.count("*").alias("n"))
+    g = g.groupBy("dim").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.lit(k + 1))).alias("searched"), F.count_if(F.col("n") > k + 1).alias("groups"))
+    g = g.withColumn("rest", F.sum("n").over(Window.partitionBy()) - F.col("n"))
+    return g.orderBy(F.desc("n"), "dim").limit(1).first()
+
+
+def _copy_key() -> list[Column]:
+    return [F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")]
+
+
+def _of_one_width(v: DataFrame, k: int, other_width: str) -> tuple[DataFrame, object]:
+    """The rows of the most frequent length, and the census; rows of another length are an error or reported."""
+    c = _census(v, k)
+    if c is None:
+        return v, None
+    if c.rest:
+        text = f"{c.rest} usable vectors have not {c.dim} values like most"
+        if other_width == "raise":
+            raise ValueError(text)
+        warnings.warn(text + " and take no part", stacklevel=3)
+    return v.where(F.size("vec") == c.dim), c
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if pa.types.is_binary(a.type) or pa.types.is_large_binary(a.type):
-        if not len(a):
-            return np.zeros((0, 1), np.float32)
-        width = len(a[0].as_py())
-        return np.frombuffer(b"".join(a.to_pylist()), dtype=np.float32).reshape(-1, width // 4)
     return a.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(a), -1)
 
 
@@ -170,35 +208,27 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _binary(m: np.ndarray) -> pa.Array:
-    m = np.ascontiguousarray(m, dtype=np.float32)
-    step = m.shape[1] * 4
-    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(np.arange(0, (len(m) + 1) * step, step, dtype=np.int32)[: len(m) + 1]), pa.py_buffer(m)])
-
-
-def _split_copies(v: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The rows to search, once each, and the lists that groups of more than k + 1 exact copies have without a search.
+def _split_copies(v: DataFrame, k: int, groups: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows to search, and the lists that groups of more than k + 1 exact copies have without a search.
 
     Of such a group the k + 1 smallest ids are searched like any others; every
     member has the smallest of the others as neighbours. The groups are counted
     on the map side, and the limit acts before the shuffle, so a group of a
-    third of all rows is never gathered.
+    third of all rows is never gathered. Where the ``groups`` are few enough
+    their keys are broadcast, so the vectors themselves aren't shuffled here.
     """
-    v = v.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec"))
+    if not groups:
+        return v, None
+    small = F.broadcast if groups * (k + 1) <= BROADCAST_GROUPS else lambda d: d
+    v = v.select("*", *_copy_key())
     big = v.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h1", "h2")
-    plain = v.join(big, ["h1", "h2"], "left_anti").select("id", "vec")
-    crowd = v.join(big, ["h1", "h2"], "left_semi")
+    crowd = v.select("h1", "h2", "id").join(small(big), ["h1", "h2"], "left_semi").distinct()
     w = Window.partitionBy("h1", "h2").orderBy("id")
-    first = crowd.select("h1", "h2", "id").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
-    lists = crowd.select("h1", "h2", "id").distinct().join(first.select("h1", "h2", F.col("id").alias("neighbour"), "place"), ["h1", "h2"])
-    searched = plain.unionByName(crowd.join(first.select("h1", "h2", "id"), ["h1", "h2", "id"], "left_semi").select("id", "vec"))
-    return searched.dropDuplicates(["id"]), lists.where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
-
-
-def _searched_rows(v: DataFrame, k: int) -> int:
-    """About how many rows _split_copies leaves to search; a row that comes twice counts twice."""
-    g = v.groupBy(F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2")).agg(F.count("*").alias("n"))
-    return g.agg(F.sum(F.least("n", F.lit(k + 1)))).first()[0]
+    first = crowd.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
+    lists = crowd.join(small(first.select("h1", "h2", F.col("id").alias("neighbour"), "place")), ["h1", "h2"])
+    one = v.join(small(first.select("h1", "h2", "id")), ["h1", "h2", "id"], "left_semi").select("id", "vec")
+    searched = v.join(small(big), ["h1", "h2"], "left_anti").select("id", "vec").unionByName(one)
+    return searched, lists.where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
 
 
 def _different(x: np.ndarray) -> np.ndarray:
@@ -210,117 +240,236 @@ def _pairs_schema() -> str:
     return "id long, neighbour long, cosine double"
 
 
-def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, code_bits: int = 64, cells_each: int = CELLS_EACH, cell_rows: int = CELL_ROWS) -> DataFrame:
+def _cells_of(x: np.ndarray, centroids: np.ndarray, each: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, cell)``: the ``each`` nearest centroids of each unit vector, of which none is further behind the nearest than ``margin``."""
+    each = min(each, len(centroids))
+    rows, cells = [], []
+    for s in range(0, len(x), 4096):
+        near = x[s : s + 4096] @ centroids.T
+        at = np.argpartition(-near, each - 1, axis=1)[:, :each]
+        near = np.take_along_axis(near, at, 1)
+        r, c = np.nonzero(near >= near.max(1, keepdims=True) - margin)
+        rows.append(r + s)
+        cells.append(at[r, c])
+    return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _pack(ids: np.ndarray, m: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """Ids and rows of a block as bytes. Rows that half precision holds without loss go that way, the others in single."""
+    with np.errstate(over="ignore"):
+        half = m.astype(np.float16)
+    fits = (half.astype(np.float32) == m).all(1)
+    if fits.any():
+        yield ids[fits].astype(np.int64).tobytes(), half[fits].tobytes()
+    if not fits.all():
+        yield ids[~fits].astype(np.int64).tobytes(), m[~fits].astype(np.float32).tobytes()
+
+
+def _unpack(ids: pa.ChunkedArray, rows: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order and unit vectors of packed blocks; an id that comes twice counts once."""
+    i = [np.frombuffer(x, dtype=np.int64) for x in ids.to_pylist()]
+    m = [np.frombuffer(x, dtype=np.float16 if len(x) == 2 * dim * len(n) else np.float32).astype(np.float32).reshape(-1, dim) for n, x in zip(i, rows.to_pylist())]
+    if not i:
+        return np.zeros(0, np.int64), np.zeros((0, dim))
+    all_ids, at = np.unique(np.concatenate(i), return_index=True)
+    return all_ids, _unit(np.concatenate(m)[at])
+
+
+def _list_table(got: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+    return pa.table({"id": pa.array(got[0], pa.int64()), "neighbour": pa.array(got[1], pa.int64()), "cosine": pa.array(got[2], pa.float64())})
+
+
+def _join_lists(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of several cells as one: each neighbour once, the k best of each id."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, n, c = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((-c, n, i))
+    i, n, c = i[order], n[order], c[order]
+    once = np.r_[True, (i[1:] != i[:-1]) | (n[1:] != n[:-1])] if len(i) else np.zeros(0, bool)
+    i, n, c = i[once], n[once], c[once]
+    order = np.lexsort((n, -c, i))
+    i, n, c = i[order], n[order], c[order]
+    ok = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+    return i[ok], n[ok], c[ok]
+
+
+def cell_lists(x: np.ndarray, ids: np.ndarray, second: np.ndarray, k: int, min_cosine: float | None, code_bits: int, each: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(id, neighbour, cosine)``: the k best of each row among the other rows of its cell.
+
+    With ``second`` (a truth for each row) only rows that differ in it meet. A
+    crowded cell gets centroids of its own, fitted on its rows, and is compared
+    cell by cell of that second level, so the work grows with its rows and not
+    with their square.
+    """
+
+    def meet(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not second.any():
+            return best_of(x[at], ids[at], x[at], ids[at], k, min_cosine, code_bits)
+        a, b = at[second[at]], at[~second[at]]
+        both = [best_of(x[p], ids[p], x[q], ids[q], k, min_cosine, code_bits) for p, q in ((a, b), (b, a)) if len(p) and len(q)]
+        return _join_lists(both, k)
+
+    if len(x) <= SPLIT_ROWS:
+        return meet(np.arange(len(x)))
+    step = max(1, len(x) * x.shape[1] * 4 // (SAMPLE_BYTES // 8))
+    different = _different(x[::step].astype(np.float32))
+    centroids = _different(fit_centroids(different, max(1, min(len(different) // 4, len(x) // SUB_HOME_ROWS))))
+    row, cell = _cells_of(x.astype(np.float32), centroids, each, margin)
+    order = np.argsort(cell, kind="stable")
+    starts = np.searchsorted(cell[order], np.arange(len(centroids) + 1))
+    return _join_lists([meet(row[order[a:b]]) for a, b in zip(starts[:-1], starts[1:]) if b - a > 1], k)
+
+
+def _sample(searched: DataFrame, n: int, dim: int) -> np.ndarray:
+    """Unit vectors of about SAMPLE_ROWS of the rows to search (fewer if they are wide), picked by a hash of their ids."""
+    rows = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * dim)))
+    part = max(1, -(-n // rows))
+    got = searched.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).limit(2 * rows).select("vec").toArrow().column(0)
+    if not len(got):
+        got = searched.limit(1000).select("vec").toArrow().column(0)
+    return _unit(_matrix(got)).astype(np.float32)
+
+
+def neighbour_lists(vectors: DataFrame, k: int = 10, min_cosine: float | None = None, code_bits: int | None = None, cells_each: int = CELLS_EACH, margin: float | None = None, home_rows: int = HOME_ROWS, other_width: str = "warn") -> DataFrame:
     """``id, neighbour, cosine, rank``: up to k nearest by cosine for every usable row of ``vectors(id, vec)``.
 
-    Rows whose vector is null, empty, all zero, not finite or of another length
-    than most take no part. A row that comes twice is one row and not its own neighbour. Equal cosines are
-    ranked by id. With ``min_cosine`` only neighbours of at least that cosine
-    come out, and the codes' error bound drops most others unseen.
+    Rows whose vector is null, empty, all zero or not finite take no part, nor
+    do rows of another length than most, whose number is reported as a warning
+    (or, with ``other_width="raise"``, an error). A row that comes twice is one
+    row and not its own neighbour. Equal cosines are ranked by id. With
+    ``min_cosine`` only neighbours of at least that cosine come out, and the
+    codes' error bound drops most others unseen.
+
+    Every row is put into the cells of its nearest centroids: at most
+    ``cells_each``, and none whose cosine is behind the nearest's by more than
+    ``margin`` (by default MARGIN with a ``min_cosine``, else no limit, as the
+    neighbours wanted may then be far away). The centroids are fitted on the different ones of a bounded
+    sample; two rows are compared if they share a cell, so a few may be missed,
+    fewer the more similar they are. Rows travel in packed blocks, one for each
+    cell and task. Crowded cells have a second level of centroids.
 
-    Every row is put into the cells of its ``cells_each`` nearest centroids,
-    fitted on the different ones of at most about SAMPLE_ROWS searched rows; two rows are compared if they
-    share a cell, so a few may be missed, fewer the more similar they are.
     Exact copies beyond the k + 1 smallest ids of a group have only copies as
     neighbours, so they needn't be searched; however many there are, they are
     never all paired with each other.
     """
     spark = vectors.sparkSession
-    v, n = _of_one_width(usable(vectors))
-    if not n:
+    v, census = _of_one_width(usable(vectors), k, other_width)
+    if census is None:
         return spark.createDataFrame([], _pairs_schema() + ", rank int")
-    searched, copies = _split_copies(v, k)
-    n = _searched_rows(v, k)
-    part = max(1, -(-n // SAMPLE_ROWS))
-    sample = _unit(_matrix(searched.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).limit(2 * SAMPLE_ROWS).select("vec").toArrow().column(0)))
-    if not len(sample):
-        sample = _unit(_matrix(searched.limit(1000).select("vec").toArrow().column(0)))
-    sample = sample.astype(np.float32)
+    n, dim = census.searched, census.dim
+    if margin is None:
+        margin = 2.0 if min_cosine is None else MARGIN
+    bits = code_bits or max(64, -(-dim // 64) * 64)
+    searched, copies = _split_copies(v, k, census.groups)
+    sample = _sample(searched, n, dim)
     # Equal rows would start as equal centroids, of which k-means moves only one.
     different = _different(sample)
-    cells = int(max(1, min(MAX_CELLS, len(different) // 4, n * cells_each // cell_rows)))
-    centroids = _different(fit_centroids(different, cells))
+    # What one task compares anyway needs no cells.
+    cells = 1 if n <= SPLIT_ROWS else min(MAX_CELLS, len(different) // 4, n // home_rows)
+    centroids = _different(fit_centroids(different, int(max(1, cells))))
     cells = len(centroids)
-    each = min(cells_each, cells)
-    # Sizes of the cells as the sample foretells them; a crowded cell is split into blocks.
-    share = np.bincount(_nearest(sample, centroids, each).ravel(), minlength=cells) * (n / len(sample))
-    blocks = np.maximum(1, np.ceil(share / MAX_CELL_ROWS)).astype(np.int64)
+    # Sizes of the cells as the sample foretells them; one that no task can hold is split into blocks.
+    share = np.bincount(_cells_of(sample, centroids, cells_each, margin)[1], minlength=cells) * (n / len(sample))
+    blocks = np.maximum(1, np.ceil(share * dim * 4 / TASK_BYTES)).astype(np.int64)
     shared = spark.sparkContext.broadcast((centroids, blocks))  # MAX_CELLS centroids at most
+    most = int(blocks.max())
+    tasks = int(np.clip((np.minimum(share, SPLIT_ROWS) * share).sum() // TASK_PAIRS, int(spark.conf.get("spark.sql.shuffle.partitions")), cells * most * most))
 
-    def assign(batches):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, bl = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = _matrix(b.column(1))
-            ids = b.column(0).to_numpy()
-            near = _nearest(_unit(m).astype(np.float32), c, each)
-            row, cell = np.repeat(np.arange(len(ids)), each), near.ravel()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            ids, m = (np.concatenate(p) for p in zip(*held))
+            row, cell = _cells_of(_unit(m).astype(np.float32), c, cells_each, margin)
             mine = (ids[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % bl[cell]
+            # A row of block b meets every block of its cell: group (cell, lower block, higher block).
             out = bl[cell]
             row, cell, mine = np.repeat(row, out), np.repeat(cell, out), np.repeat(mine, out)
             other = np.arange(len(row)) - np.repeat(np.cumsum(out) - out, out)
-            yield pa.record_batch(
-                [pa.array(cell.astype(np.int32)), pa.array(np.minimum(mine, other).astype(np.int32)), pa.array(np.maximum(mine, other).astype(np.int32)), pa.array((mine > other).astype(np.int32)), pa.array(ids[row]), _binary(m[row])],
-                names=["cell", "b1", "b2", "side", "id", "vec"],
-            )
+            group = (cell * most + np.minimum(mine, other)) * most + np.maximum(mine, other)
+            side = mine > other
+            order = np.lexsort((side, group))
+            row, group, side = row[order], group[order], side[order]
+            cuts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])]) if len(row) else np.zeros(0, np.int64)
+            recs = [(int(group[a]), bool(side[a]), *p) for a, b in zip(cuts, [*cuts[1:], len(row)]) for p in _pack(ids[row[a:b]], m[row[a:b]])]
+            cols = list(zip(*recs)) or [[]] * 4
+            return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["grp", "second", "ids", "rows"])
 
-    put = searched.mapInArrow(assign, "cell int, b1 int, b2 int, side int, id long, vec binary")
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), _matrix(b.column(1))))
+            if sum(len(i) for i, _ in held) * dim * 4 >= min(PACK_ROWS * 256, TASK_BYTES):
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    put = searched.mapInArrow(assign, "grp long, second boolean, ids binary, rows binary").repartition(tasks, "grp")
 
     def meet(t: pa.Table) -> pa.Table:
-        x, ids = _unit(_matrix(t.column("vec"))), t.column("id").to_numpy()
-        if t.column("b1")[0].as_py() == t.column("b2")[0].as_py():
-            got = best_of(x, ids, x, ids, k, min_cosine, code_bits)
-        else:
-            s = t.column("side").to_numpy() == 1
-            both = [best_of(x[a], ids[a], x[b], ids[b], k, min_cosine, code_bits) for a, b in ((s, ~s), (~s, s)) if a.any() and b.any()]
-            got = tuple(np.concatenate(p) for p in zip(*both)) if both else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"id": pa.array(got[0], pa.int64()), "neighbour": pa.array(got[1], pa.int64()), "cosine": pa.array(got[2], pa.float64())})
+        sides = [_unpack(p.column("ids"), p.column("rows"), dim) for p in (t.filter(t.column("second")), t.filter(pc.invert(t.column("second"))))]
+        ids, x = (np.concatenate(p) for p in zip(*sides))
+        second = np.arange(len(ids)) < len(sides[0][0])
+        return _list_table(cell_lists(x, ids, second, k, min_cosine, bits, cells_each, margin))
 
-    lists = put.groupBy("cell", "b1", "b2").applyInArrow(meet, _pairs_schema())
-    return _ranked(lists.unionByName(copies), k)
+    lists = put.groupBy("grp").applyInArrow(meet, _pairs_schema())
+    return _ranked(lists if copies is None else lists.unionByName(copies), k)
 
 
 def _ranked(lists: DataFrame, k: int) -> DataFrame:
-    best = lists.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine")).where("id <> neighbour")
+    # One exchange by id serves both the union of a row's lists and their ranking.
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    best = lists.where("id <> neighbour").repartition(n, "id").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _nearest(x: np.ndarray, centroids: np.ndarray, each: int) -> np.ndarray:
-    out = [np.argpartition(-(x[s : s + 4096] @ centroids.T), each - 1, axis=1)[:, :each] for s in range(0, len(x), 4096)]
-    return np.concatenate(out) if out else np.zeros((0, each), np.int64)
-
-
-def search(queries: DataFrame, vectors: DataFrame, k: int = 10, code_bits: int = 128, rows_per_task: int = 25_000, queries_per_task: int = 20_000) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int = 10, code_bits: int = 128, rows_per_task: int = 25_000, queries_per_task: int = 20_000, other_width: str = "warn") -> DataFrame:
     """``id, neighbour, cosine, rank``: the k nearest of all ``vectors(id, vec)`` for each of ``queries(id, vec)``.
 
-    The codes of all rows are scanned: rows and queries meet in blocks of a
-    bounded size, and each block gives k rows for each query at most. The same
-    rules as in neighbour_lists hold for rows that take no part, rows that come
-    twice and equal cosines.
+    The codes of all rows are scanned: rows and queries meet in packed blocks of
+    a bounded size, and each block gives k rows for each query at most. The
+    same rules as in neighbour_lists hold for rows that take no part, rows that
+    come twice and equal cosines.
     """
-    v, n = _of_one_width(usable(vectors))
-    if not n:
-        return vectors.sparkSession.createDataFrame([], _pairs_schema() + ", rank int")
-    q = usable(queries).where(F.size("vec") == v.select(F.size("vec")).first()[0]).dropDuplicates(["id"])
-    v = v.dropDuplicates(["id"])
-    shards = max(1, -(-n // rows_per_task))
+    spark = vectors.sparkSession
+    v, census = _of_one_width(usable(vectors), k, other_width)
+    if census is None:
+        return spark.createDataFrame([], _pairs_schema() + ", rank int")
+    dim = census.dim
+    bits = max(code_bits, -(-dim // 64) * 64)
+    q = usable(queries).where(F.size("vec") == dim)
+    rows_per_task = max(1, min(rows_per_task, TASK_BYTES // (4 * dim)))
+    shards = max(1, -(-census.n // rows_per_task))
     groups = max(1, -(-q.count() // queries_per_task))
 
-    def spread(c: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    def packed(d: DataFrame, mine: int, others: int, query_side: bool) -> DataFrame:
+        """Blocks ``grp, ask, ids, rows`` of one side; each of its ``mine`` parts goes to all ``others`` of the other side."""
 
-    a = q.select(spread("id", groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), "id", "vec")
-    b = v.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), spread("id", shards).alias("s"), "id", "vec")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, m = b.column(0).to_numpy(), _matrix(b.column(1))
+                part = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % mine
+                recs = []
+                for p in np.unique(part):
+                    for i, r in _pack(ids[part == p], m[part == p]):
+                        recs += [(int(p * shards + o if query_side else o * shards + p), query_side, i, r) for o in range(others)]
+                cols = list(zip(*recs)) or [[]] * 4
+                yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["grp", "ask", "ids", "rows"])
 
-    def meet(qs: pa.Table, xs: pa.Table) -> pa.Table:
-        got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if qs.num_rows and xs.num_rows:
-            got = best_of(_unit(_matrix(qs.column("vec"))), qs.column("id").to_numpy(), _unit(_matrix(xs.column("vec"))), xs.column("id").to_numpy(), k, None, code_bits)
-        return pa.table({"id": pa.array(got[0], pa.int64()), "neighbour": pa.array(got[1], pa.int64()), "cosine": pa.array(got[2], pa.float64())})
+        return d.mapInArrow(run, "grp long, ask boolean, ids binary, rows binary")
+
+    both = packed(q, groups, shards, True).unionByName(packed(v, shards, groups, False))
+
+    def meet(t: pa.Table) -> pa.Table:
+        (qi, qx), (xi, x) = (_unpack(p.column("ids"), p.column("rows"), dim) for p in (t.filter(t.column("ask")), t.filter(pc.invert(t.column("ask")))))
+        got = best_of(qx, qi, x, xi, k, None, bits) if len(qi) and len(xi) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return _list_table(got)
 
-    return _ranked(a.groupBy("g", "s").cogroup(b.groupBy("g", "s")).applyInArrow(meet, _pairs_schema()), k)
+    met = both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups * shards, 10_000)), "grp").groupBy("grp").applyInArrow(meet, _pairs_schema())
+    return _ranked(met, k)
 
 
 def similar_pairs(vectors: DataFrame, min_cosine: float = 0.85, k: int = 10) -> DataFrame:
