@@ -84,4 +84,12 @@ many AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
 s AS (SELECT h, list_sort(list(doc_id)) AS ids FROM g WHERE h IN (SELECT h FROM many) GROUP BY h),
 u AS (SELECT DISTINCT ids FROM s)
 SELECT DISTINCT a AS doc_a, b AS doc_b FROM (SELECT a, unnest(ids) AS b FROM (SELECT ids, unnest(ids) AS a FROM u)) WHERE a < b""",
+    "p8_shares": """
+WITH g AS (
+  SELECT doc_id, i, md5(substring(text, i + 1, 150)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 149)) AS i FROM documents WHERE length(text) >= 150)),
+many AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM g WHERE h IN (SELECT h FROM many)),
+cover AS (SELECT doc_id, sum(least(150, coalesce(j - i, 150))) AS shared FROM hit GROUP BY 1)
+SELECT doc_id, coalesce(length(text), 0)::bigint AS n_chars, coalesce(shared, 0)::bigint AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(shared, 0) / length(text), 6) ELSE 0.0 END AS share
+FROM documents LEFT JOIN cover USING (doc_id)""",
 }

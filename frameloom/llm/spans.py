@@ -31,8 +31,13 @@ K = 64
 PIECE = 800_000
 #: Texts of one path that a single group pairs up; more are spread over several groups.
 PATH_BLOCK = 512
+#: Stretches of a path up to which shared_share compares each with each other; beyond, it compares hashes of windows.
+CROWD = 32
+#: Documents up to which their ids are broadcast to pick the texts that are compared (8 bytes each).
+BROADCAST_DOCS = 1_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
+_B2 = np.uint64(0xD6E8FEB86659FD93)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 20) - 1)
@@ -44,9 +49,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash_kmers(codes: np.ndarray, k: int) -> np.ndarray:
+def _hash_kmers(codes: np.ndarray, k: int, base: np.uint64 = _B) -> np.ndarray:
     """64-bit hash of each k-mer of the code points, by doubling its length."""
-    power, length, h = _B, 1, _mix(codes.astype(np.uint64) + np.uint64(1))
+    power, length, h = base, 1, _mix(codes.astype(np.uint64) + np.uint64(1))
     total, done = None, 0
     left = k
     with np.errstate(over="ignore"):
@@ -127,18 +132,49 @@ def tokens_of(texts: list[str], k: int = K, min_chars: int = MIN_CHARS) -> Itera
         yield flush()
 
 
-def sampled_kmers(docs: DataFrame, k: int = K, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, pos, edge`` of every sampled k-mer of ``docs(doc_id, text)``; texts shorter than min_chars have none."""
+def _unlike(texts: list[str], n: np.ndarray, pos: np.ndarray, h: np.ndarray, k: int, min_chars: int) -> np.ndarray:
+    """Which tokens to keep if of equal tokens of a text that also have equal surroundings only the first counts.
+
+    A common run of min_chars characters around a token lies within its
+    surroundings (min_chars - k characters before and after), so another token
+    with the same ones finds nothing else. A period thus gives a few tokens
+    for each of its ends and one for all between.
+    """
+    order = np.lexsort((pos, h, n))
+    same = (n[order][1:] == n[order][:-1]) & (h[order][1:] == h[order][:-1])
+    keep = np.ones(len(n), bool)
+    if not same.any():
+        return keep
+    side, seen = min_chars - k, set()
+    for i in order[np.r_[False, same] | np.r_[same, False]].tolist():
+        p = int(pos[i])
+        around = (int(n[i]), int(h[i]), min(p, side), texts[n[i]][max(0, p - side) : p + min_chars])
+        keep[i] = around not in seen
+        seen.add(around)
+    return keep
+
+
+def sampled_kmers(docs: DataFrame, k: int = K, min_chars: int = MIN_CHARS, unlike: bool = False) -> DataFrame:
+    """``doc_id, pos, edge`` of every sampled k-mer of ``docs(doc_id, text)``; texts shorter than min_chars have none.
+
+    With ``unlike`` a token that a text repeats comes out once for each of its
+    different surroundings, which is enough to find the pairs of texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                for n, pos, h in tokens_of(part.column(1).to_pylist(), k, min_chars):
+                texts = part.column(1).to_pylist()
+                for n, pos, h in tokens_of(texts, k, min_chars):
                     # A piece may begin or end at the same k-mer as its neighbour.
                     keep = np.r_[True, (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])] if len(n) else np.zeros(0, bool)
-                    yield pa.record_batch([pa.array(ids[n[keep]], pa.int64()), pa.array(pos[keep].astype(np.int32)), pa.array(h[keep].view(np.int64))], names=["doc_id", "pos", "edge"])
+                    n, pos, h = n[keep], pos[keep], h[keep]
+                    if unlike and len(n):
+                        keep = _unlike(texts, n, pos, h, k, min_chars)
+                        n, pos, h = n[keep], pos[keep], h[keep]
+                    yield pa.record_batch([pa.array(ids[n], pa.int64()), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "pos", "edge"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= min_chars)
     return d.mapInArrow(run, "doc_id long, pos int, edge long")
@@ -156,7 +192,9 @@ def repeated_tokens(kmers: DataFrame) -> DataFrame:
 
 
 def paths(repeated: DataFrame, k: int = K, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Compact nonbranching paths: ``path, doc_id, start, stop`` of each text's stretch of a path (stop exclusive).
+    """Compact nonbranching paths: ``path, doc_id, start, stop, gap`` of each text's stretch of a path (stop exclusive).
+
+    ``gap`` is the widest step between two tokens of the stretch.
 
     Two tokens of a text are linked if they are at most a window apart. A
     junction is nonbranching if every occurrence of its first token goes on to
@@ -172,11 +210,11 @@ def paths(repeated: DataFrame, k: int = K, min_chars: int = MIN_CHARS) -> DataFr
     t = t.withColumn("came", F.when(gap <= w, F.xxhash64("before", "gap")).otherwise(0)).withColumn("goes", F.when(nxt <= w, F.xxhash64(F.lead("edge").over(d), nxt)).otherwise(0))
     # One row for each token: partial aggregates, however many texts hold it.
     node = t.groupBy("edge").agg((F.min("came") == F.max("came")).alias("one_in"), (F.min("goes") == F.max("goes")).alias("one_out"))
-    t = t.select("doc_id", "pos", "edge", F.col("before").isNotNull().alias("linked")).join(node, "edge")
+    t = t.select("doc_id", "pos", "edge", "gap", F.col("before").isNotNull().alias("linked")).join(node, "edge")
     inner = F.col("linked") & F.col("one_in") & F.lag("one_out").over(d)
     t = t.withColumn("first", F.coalesce((~inner).cast("int"), F.lit(1)))
     t = t.withColumn("run", F.sum("first").over(d.rowsBetween(Window.unboundedPreceding, 0)))
-    return t.groupBy("doc_id", "run").agg(F.min_by("edge", "pos").alias("path"), F.min("pos").alias("start"), (F.max("pos") + k).alias("stop")).select("path", "doc_id", "start", "stop")
+    return t.groupBy("doc_id", "run").agg(F.min_by("edge", "pos").alias("path"), F.min("pos").alias("start"), (F.max("pos") + k).alias("stop"), F.coalesce(F.max(F.when(F.col("first") == 0, F.col("gap"))), F.lit(0)).alias("gap")).select("path", "doc_id", "start", "stop", "gap")
 
 
 def exact_copies(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -212,13 +250,19 @@ def common_runs(x: str, y: str, min_chars: int) -> list[tuple[int, int]]:
     return [(int(s) + 1, int(m)) for s, m in zip(stops[:-1], length) if m >= min_chars]
 
 
-def verified_spans(cand: DataFrame, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def _texts_of(docs: DataFrame, ids: DataFrame, min_chars: int) -> DataFrame:
+    """``doc_id, text`` of the documents in ``ids(doc_id)``, where they are few enough to be told to every task; else of all long enough."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= min_chars)
+    ids = ids.select("doc_id").distinct()
+    return texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else texts
+
+
+def verified_spans(cand: DataFrame, texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``a, b, start_a, start_b, length`` of the common runs at the candidates' coordinates, compared character by character."""
     c = cand.withColumn("at", F.greatest(F.lit(0), F.col("lo") - min_chars, -F.col("diag"))).withColumn("n", F.col("hi") + min_chars - F.col("at"))
     key = ["a", "b", "diag", "at"]
     want = c.select(*key, "n", F.col("a").alias("doc_id"), F.lit(0).alias("side"), F.col("at").alias("begin"))
     want = want.unionByName(c.select(*key, "n", F.col("b").alias("doc_id"), F.lit(1).alias("side"), (F.col("at") + F.col("diag")).alias("begin")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= min_chars)
     # Each text is sent once; only the wanted slices go on.
     cut = want.join(texts, "doc_id").select(*key, "side", F.substring(F.col("text"), F.col("begin") + 1, F.col("n")).alias("slice"))
     both = cut.groupBy(*key).agg(F.max(F.when(F.col("side") == 0, F.col("slice"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("slice"))).alias("y"))
@@ -231,14 +275,56 @@ def verified_spans(cand: DataFrame, docs: DataFrame, min_chars: int = MIN_CHARS)
     return both.mapInPandas(run, "a long, b long, start_a int, start_b int, length int")
 
 
-def shared_spans(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """Spans between different texts (one document standing for its exact copies), and the copies."""
+def shared_stretches(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K, unlike: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The stretches of paths of different texts (one document standing for its exact copies), and the copies."""
     spark = docs.sparkSession
-    # Both are read several times below and are small beside the tokens they come from.
+    # Both are read several times and are small beside the tokens they come from.
     copies = reliable_checkpoint(spark, exact_copies(docs, min_chars))
-    stretches = paths(repeated_tokens(sampled_kmers(docs, k, min_chars)), k, min_chars)
-    stretches = reliable_checkpoint(spark, stretches.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti"))
-    return verified_spans(candidates(stretches), docs, min_chars), copies
+    stretches = paths(repeated_tokens(sampled_kmers(docs, k, min_chars, unlike)), k, min_chars)
+    return reliable_checkpoint(spark, stretches.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")), copies
+
+
+def window_spans(stretches: DataFrame, texts: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
+    """``rep, s, e``: the runs of min_chars characters around the given stretches that another document holds too.
+
+    Every window of min_chars characters that holds a stretch's first or last
+    token gets a hash of 128 bits, and so has the whole stretch where its
+    tokens leave no character out; where they do, every window of it. Hashes of
+    more than one document are shared; they are counted by the smallest and
+    largest document on the map side. The rows grow with the stretches.
+    """
+    w = min_chars - k + 1
+    per = stretches.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "gap"))).alias("parts"))  # bounded by the text's length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, parts, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                last = len(codes) - min_chars
+                want = np.zeros(max(last + 1, 0), bool)
+                whole = []
+                for p in parts:
+                    start, stop = p["start"], p["stop"]
+                    if p["gap"] <= k and stop - start >= min_chars:
+                        whole.append((start, stop - start))
+                        want[max(0, start - w + 1) : max(0, start)] = True
+                        want[max(0, stop - min_chars + 1) : stop - k + 1] = True
+                    else:
+                        want[max(0, start - w + 1) : stop - k + 1] = True
+                at = np.flatnonzero(want)
+                h1, h2 = (_hash_kmers(codes, min_chars, x)[at] if len(at) else np.zeros(0, np.uint64) for x in (_B, _B2))
+                if whole:
+                    more = [[_hash_kmers(codes[a : a + n], n, x)[0] for a, n in whole] for x in (_B, _B2)]
+                    h1, h2 = (np.r_[h, np.array(m, np.uint64)] for h, m in zip((h1, h2), more))
+                n = np.r_[np.full(len(at), min_chars), np.array([n for _, n in whole], np.int64)].astype(np.int32)
+                at = np.r_[at, np.array([a for a, _ in whole], np.int64)].astype(np.int32)
+                yield pa.record_batch([pa.array(np.full(len(at), doc), pa.int64()), pa.array(at), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "at", "n", "h1", "h2"])
+
+    # The text's few stretches travel to it.
+    r = per.join(texts, "doc_id").select("doc_id", "parts", "text").mapInArrow(run, "doc_id long, at int, n int, h1 long, h2 long")
+    r = reliable_checkpoint(stretches.sparkSession, r)
+    many = r.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("lo", "hi")
+    return r.join(many, ["h1", "h2", "n"]).select(F.col("doc_id").alias("rep"), F.col("at").alias("s"), (F.col("at") + F.col("n")).alias("e"))
 
 
 def shared_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -249,7 +335,8 @@ def shared_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     once for all and written out at the end. doc_id is taken as unique; other
     columns are ignored.
     """
-    spans, copies = shared_spans(docs, min_chars)
+    stretches, copies = shared_stretches(docs, min_chars, unlike=True)
+    spans = verified_spans(candidates(stretches), _texts_of(docs, stretches, min_chars), min_chars)
     pairs = spans.select("a", "b").distinct()
     for side in ("a", "b"):
         m = copies.select(F.col("rep").alias(side), F.col("doc_id").alias("member"))
@@ -266,9 +353,14 @@ def shared_share(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     characters and share 0; a text with an exact copy is shared whole if long
     enough.
     """
-    spans, copies = shared_spans(docs, min_chars)
+    stretches, copies = shared_stretches(docs, min_chars)
+    crowded = stretches.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("path")
+    texts = _texts_of(docs, stretches, min_chars)
+    spans = verified_spans(candidates(stretches.join(crowded, "path", "left_anti")), texts, min_chars)
     cover = spans.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("start_a").alias("s"), "length"), F.struct(F.col("b").alias("rep"), F.col("start_b").alias("s"), "length"))).alias("x"))
-    cover = cover.select("x.rep", "x.s", (F.col("x.s") + F.col("x.length")).alias("e")).distinct()
+    cover = cover.select("x.rep", "x.s", (F.col("x.s") + F.col("x.length")).alias("e"))
+    hot = stretches.join(crowded, "path", "left_semi")
+    cover = cover.unionByName(window_spans(hot, _texts_of(docs, hot, min_chars), min_chars)).distinct()
     w = Window.partitionBy("rep").orderBy("s", "e")
     reached = F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cover = cover.withColumn("fresh", F.greatest(F.lit(0), F.col("e") - F.greatest("s", reached))).groupBy("rep").agg(F.sum("fresh").alias("covered"))

@@ -92,6 +92,39 @@ def test_hot_boilerplate_in_blocks(spark):
     assert sp.shared_pairs(df).count() == 90 * 89 // 2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shares_by_windows_alone_equal_brute_force(spark, seed, monkeypatch):
+    texts = corpus(seed)
+    monkeypatch.setattr(sp, "CROWD", 0)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_shared(texts, 150)
+    assert {r.doc_id: r.shared_chars for r in sp.shared_share(df).collect()} == want
+
+
+def test_long_periodic_texts(spark):
+    rng = random.Random(12)
+    new = lambda n: "".join(rng.choice("klmnop ") for _ in range(n))
+    unit = "the same line again. "
+    texts = {1: "ab" * 5000, 2: new(99) + "ab" * 5000, 3: " " * 2000 + new(300), 4: new(50) + " " * 2000, 5: unit * 300, 6: new(20) + unit * 300 + new(20), 7: unit * 8, 8: new(10) + "ab" * 74, 9: new(10) + "ab" * 75 + "c"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {tuple(r) for r in sp.shared_pairs(df).collect()} == brute_pairs(texts, 150)
+    want = brute_shared(texts, 150)
+    assert {r.doc_id: r.shared_chars for r in sp.shared_share(df).collect()} == want
+    assert want[1] == 10_000 and want[8] == 0 and want[9] == 150
+    # Before the aggregate: a few hundred rows for two periodic texts, not one for each pair of their tokens.
+    st = sp.paths(sp.repeated_tokens(sp.sampled_kmers(df.where("doc_id in (1, 2)"), unlike=True)))
+    assert st.groupBy("doc_id").count().agg({"count": "max"}).first()[0] < 200
+
+
+def test_share_of_a_paragraph_in_a_third_of_many_documents(spark):
+    rng = random.Random(13)
+    foot = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    docs = [(i, "".join(rng.choice("klmnop") for _ in range(60)) + (foot if i % 3 == 0 else "")) for i in range(6000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sp.shared_share(df)
+    assert got.where("doc_id % 3 = 0 and shared_chars < 400").count() == 0 and got.where("doc_id % 3 <> 0 and shared_chars > 0").count() == 0
+
+
 def test_paths_are_compact(spark):
     rng = random.Random(8)
     t = "".join(rng.choice("abcdefghij") for _ in range(5000))
