@@ -219,7 +219,7 @@ def paths(repeated: DataFrame, k: int = K, min_chars: int = MIN_CHARS) -> DataFr
 
 def exact_copies(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, rep`` for the texts that others hold whole: the smallest doc_id stands for its copies (rep has a row too)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("key"), F.length("text").alias("n")).where(F.col("n") >= min_chars)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("key"), F.length("text").alias("n")).where(F.col("n") >= min_chars)
     many = d.groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep < top").drop("top")
     return d.join(many, ["key", "n"]).select("doc_id", "rep")
 
@@ -257,9 +257,15 @@ def _texts_of(docs: DataFrame, ids: DataFrame, min_chars: int) -> DataFrame:
     return texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else texts
 
 
-def verified_spans(cand: DataFrame, texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``a, b, start_a, start_b, length`` of the common runs at the candidates' coordinates, compared character by character."""
-    c = cand.withColumn("at", F.greatest(F.lit(0), F.col("lo") - min_chars, -F.col("diag"))).withColumn("n", F.col("hi") + min_chars - F.col("at"))
+def verified_spans(cand: DataFrame, texts: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
+    """``a, b, start_a, start_b, length`` of the common runs at the candidates' coordinates, compared character by character.
+
+    Every window of min_chars characters around a token ends at most
+    min_chars - k characters beside it, so no more is looked at; longer runs
+    have further tokens.
+    """
+    side = min_chars - k
+    c = cand.withColumn("at", F.greatest(F.lit(0), F.col("lo") - side, -F.col("diag"))).withColumn("n", F.col("hi") + side - F.col("at"))
     key = ["a", "b", "diag", "at"]
     want = c.select(*key, "n", F.col("a").alias("doc_id"), F.lit(0).alias("side"), F.col("at").alias("begin"))
     want = want.unionByName(c.select(*key, "n", F.col("b").alias("doc_id"), F.lit(1).alias("side"), (F.col("at") + F.col("diag")).alias("begin")))
