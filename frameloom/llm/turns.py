@@ -20,16 +20,17 @@ from ..functions.frames import clean_day, clean_hour, clean_stream, offset_of, p
 
 #: Hesitation sounds; a letter in brackets may be repeated at will.
 HESITATIONS = ("u(h)", "u(m)", "uh(m)", "u(h)m", "e(r)", "er(m)", "e(h)", "eh(m)", "h(m)", "m(m)", "ä(h)", "äh(m)", "ä(m)", "a(h)m", "e(u)h", "ö(h)", "öh(m)")
-_REPEAT = 6
 #: Most speakers the automaton is built for; more would not be a list that every worker holds.
 MAX_SPEAKERS = 100_000
-#: Most words inside brackets that still count as an annotation.
+#: Most words inside brackets that still count as an annotation (a parameter of every function that reads brackets).
 ANNOTATION_WORDS = 4
 
 _TIME = regex.compile(r"[\[(<]?\b\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\b[\])>]?(?:\s*-->)?")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*")
 #: After a name: an optional (Speaker 3), decoration, and what makes it a label.
 _AFTER = regex.compile(r"(?:\*\*|__)?(?:\s*\(\s*(?:speaker|spk|s)[\s_#-]*\d+\s*\))?\s*(?:\*\*|__)?(?:\s*[:：]{1,2}|\s+[-–—]+(?=\s|$))", regex.I)
+#: Three or more of a letter; the automaton reads them as two, so a hesitation may be drawn out at will.
+_DRAWN = regex.compile(r"(\p{L})\1{2,}")
 _CLOSERS = {"[": "]", "(": ")", "{": "}", "<": ">", "*": "*", "♪": "♪"}
 
 
@@ -38,11 +39,35 @@ def _hesitations() -> set[str]:
     for p in HESITATIONS:
         head, rest = p.split("(")
         letter, tail = rest.split(")")
-        out |= {head + letter * k + tail for k in range(1, _REPEAT + 1)}
+        out |= {_shorten(head + letter * k + tail)[0] for k in (1, 2, 3)}
     # A single letter is no sound.
     return {w for w in out if len(w) > 1}
 
 
+def _shorten(low: str) -> tuple[str, list[int] | None]:
+    """The text with every letter that comes three times running or more written twice, and the place in ``low`` of each character left (null if all are)."""
+    if _DRAWN.search(low) is None:
+        return low, None
+    out, places, at = [], [], 0
+    for m in _DRAWN.finditer(low):
+        out.append(low[at : m.start() + 2])
+        places += range(at, m.start() + 2)
+        at = m.end()
+    out.append(low[at:])
+    return "".join(out), [*places, *range(at, len(low))]
+
+
+def _hits(low: str, a) -> list[tuple[int, int, str, str | None]]:
+    """``(start, -length, kind, speaker)`` of the automaton's hits, in places of ``low``."""
+    short, places = _shorten(low)
+    found = [(end - size + 1, end + 1, kind, who) for end, (kind, size, who) in a.iter(short)]
+    if places is not None:
+        # A hit ends where the next character that was kept begins, so it holds the letters left out behind it.
+        ends = [*places, len(low)]
+        found = [(places[s], ends[e], kind, who) for s, e, kind, who in found]
+    return sorted((s, s - e, kind, who) for s, e, kind, who in found)
+
+
 def _misspelt(name: str) -> set[str]:
     """The name with a letter doubled, lost, or exchanged with its neighbour."""
     n = range(len(name))
@@ -69,7 +94,7 @@ def automaton(speakers: tuple[tuple[int | None, str], ...]):
             for n in {f"{no}", f"{no:02d}", f"{no:03d}"}:
                 for p in ("speaker ", "speaker_", "speaker-", "speaker", "speaker #", "spk", "spk-", "spk_", "spk ", "s"):
                     words.setdefault(p + n, ("name", who))
-    for w, (kind, who) in words.items():
+    for w, (kind, who) in {_shorten(w)[0]: x for w, x in reversed(words.items())}.items():
         a.add_word(w, (kind, len(w), who))
     a.make_automaton()
     return a
@@ -80,17 +105,17 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def segments(text: str | None, speakers: tuple[tuple[int | None, str], ...]) -> list[tuple[str | None, str, int]]:
+def segments(text: str | None, speakers: tuple[tuple[int | None, str], ...], annotation_words: int = ANNOTATION_WORDS) -> list[tuple[str | None, str, int]]:
     """``(label, clean words, number of words)`` in order; the first segment has no label of its own.
 
     Null and blank texts hold nothing. A name without the marks of a label is a
-    word like any other; so is a bracket that holds more than a few words.
+    word like any other; so is a bracket of more than ``annotation_words`` words.
     """
     if not text or text.isspace():
         return []
     low = _lower(text)
     n = len(low)
-    hits = sorted(((end - size + 1, -size, kind, who) for end, (kind, size, who) in automaton(speakers).iter(low)))
+    hits = _hits(low, automaton(speakers))
     cuts: list[tuple[int, int, str | None]] = [(m.start(), m.end(), None) for m in _TIME.finditer(low)]
     times = {i for a, b, _ in cuts for i in range(a, b)}
     done = 0
@@ -106,7 +131,7 @@ def segments(text: str | None, speakers: tuple[tuple[int | None, str], ...]) ->
                 continue
             inner = low[at + 1 : close].strip(" (")
             label = _speaker_named(inner, speakers) if low[at] in "[<" else None
-            if label is None and len(_WORD.findall(inner)) > ANNOTATION_WORDS:
+            if label is None and len(_WORD.findall(inner)) > annotation_words:
                 continue
             end = close + 1
             while end < n and low[end] == _CLOSERS[low[at]] and low[at] == "(":
@@ -147,7 +172,7 @@ def segments(text: str | None, speakers: tuple[tuple[int | None, str], ...]) ->
 
 def _speaker_named(inner: str, speakers: tuple[tuple[int | None, str], ...]) -> str | None:
     a = automaton(speakers)
-    got = a.get(inner, None) if inner else None
+    got = a.get(_shorten(inner)[0], None) if inner else None
     return got[2] if got and got[0] == "name" else None
 
 
@@ -159,7 +184,7 @@ def speaker_list(speakers: DataFrame) -> tuple[tuple[int | None, str], ...]:
     return tuple(sorted(((r[0], r[1]) for r in rows), key=str))
 
 
-def chunk_segments(transcripts: DataFrame, speakers: DataFrame) -> DataFrame:
+def chunk_segments(transcripts: DataFrame, speakers: DataFrame, annotation_words: int = ANNOTATION_WORDS) -> DataFrame:
     """The segments of each chunk: ``stream_name, day, hour, off, row_index, seg, label, words, n_words``.
 
     Rows with the same row_index are one chunk. Stream, day, hour and offset are
@@ -183,13 +208,13 @@ def chunk_segments(transcripts: DataFrame, speakers: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for s, d, h, o, r, text in b.itertuples(index=False, name=None):
-                rows += [(s, d, h, o, r, k, *x) for k, x in enumerate(segments(text, who)) if x[0] is not None or x[2]]
+                rows += [(s, d, h, o, r, k, *x) for k, x in enumerate(segments(text, who, annotation_words)) if x[0] is not None or x[2]]
             yield pd.DataFrame(rows, columns=cols)
 
     return t.mapInPandas(run, "stream_name string, day string, hour int, off int, row_index long, seg int, label string, words string, n_words int")
 
 
-def speaker_turns(transcripts: DataFrame, speakers: DataFrame) -> DataFrame:
+def speaker_turns(transcripts: DataFrame, speakers: DataFrame, annotation_words: int = ANNOTATION_WORDS) -> DataFrame:
     """``stream_name, day, hour, turn_no, speaker, first_row, last_row, n_words, words``, in order.
 
     A transcript is one stream, day and hour, so its window is bounded by an
@@ -198,7 +223,7 @@ def speaker_turns(transcripts: DataFrame, speakers: DataFrame) -> DataFrame:
     """
     key = ["stream_name", "day", "hour"]
     w = Window.partitionBy(*key).orderBy("off", "row_index", "seg")
-    s = chunk_segments(transcripts, speakers)
+    s = chunk_segments(transcripts, speakers, annotation_words)
     s = s.withColumn("speaker", F.last("label", ignorenulls=True).over(w)).where("n_words > 0 and speaker is not null")
     s = s.withColumn("new", F.coalesce((F.lag("speaker").over(w) != F.col("speaker")).cast("int"), F.lit(1)))
     s = s.withColumn("turn_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -13,7 +13,7 @@ def test_labels(label):
     assert segments(f"before that {label} well, it's 9 cups", WHO) == [(None, "before that", 2), ("maruna", "well it's 9 cups", 4)]
 
 
-@pytest.mark.parametrize("noise", ["um", "Ummm,", "hmm...", "uhhh", "äh", "er", "[LAUGHTER]", "(chair scrapes)", "((inaudible))", "{music}", "<crosstalk>", "*clears throat*", "♪ humming ♪", "10:27:39", "(27:33)", "[05:13.992]", "11:09:58,331 -->", "...", "/"])
+@pytest.mark.parametrize("noise", ["um", "Ummm,", "hmm...", "uhhh", "ummmmmmmmmmmm", "Hmmmmmmmmmmmm", "ehmmmmm", "äh", "er", "[LAUGHTER]", "(chair scrapes)", "((inaudible))", "{music}", "<crosstalk>", "*clears throat*", "♪ humming ♪", "10:27:39", "(27:33)", "[05:13.992]", "11:09:58,331 -->", "...", "/"])
 def test_what_is_no_speech(noise):
     assert segments(f"the cup {noise} fell", WHO) == [(None, "the cup fell", 3)]
     assert segments(noise, WHO) == [(None, "", 0)]
@@ -26,7 +26,11 @@ def test_context_rules():
     assert segments("so (I really think that you should go) now", WHO)[0][2] == 9
     assert segments("which speaker? S1 is out", WHO) == [(None, "which speaker S1 is out", 5)]
     assert segments("Tovik: yes. Ysselk - no Spk-12 :: maybe", WHO) == [(None, "", 0), ("tovik", "yes", 1), ("ysselk", "no", 1), ("ysselk", "maybe", 1)]
+    assert segments("so (I really think that you should go) now", WHO, annotation_words=7)[0][1] == "so now"
     assert segments("[unclosed word", WHO)[0][2] == 2
+    # Drawn-out letters: a hesitation of any length, words and labels after it in their own places.
+    assert segments("Sooooo uhhhhhhhhhhh Tovik: goooood ummmmmmmmq mmmmmmmmmm yes", WHO) == [(None, "Sooooo", 1), ("tovik", "goooood ummmmmmmmq yes", 3)]
+    assert segments("Marunnnna: yes", WHO) == [(None, "", 0), ("maruna", "yes", 1)]
     assert segments(None, WHO) == [] and segments("  \n", WHO) == []
     assert segments("İİ Tovik: ok", WHO)[1] == ("tovik", "ok", 1)
 
