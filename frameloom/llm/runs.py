@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import frame_id_of, offset_of, parse_frame
-from ..functions.scores import read_tier
+from ..functions.scores import TIERS, read_tier
 
 RUN_SCHEMA = "entity string, block long, start_t double, end_t double, n long, state string, edge int"
 
 
-def agglomerate(times, states, max_gap: float, min_similarity: float) -> list[tuple[int, int, dict]]:
-    """Runs ``(first, last, histogram)`` of one time-ordered sequence.
+def agglomerate(times, states, max_gap: float, min_similarity: float, ends=None, counts=None) -> list[tuple[int, int, dict]]:
+    """Runs ``(first, last, histogram)`` of one time-ordered sequence of events, or of runs with ``ends`` and ``counts``.
 
     Similarity of two runs is the overlap of their state distributions (1 for
     the same distribution, 0 for disjoint ones); equal similarities merge from
@@ -29,8 +29,9 @@ def agglomerate(times, states, max_gap: float, min_similarity: float) -> list[tu
     """
     n = len(times)
     last, nxt, prv = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1))
-    hist: list[dict] = [{s: 1} for s in states]
-    size, version = [1] * n, [0] * n
+    ends = times if ends is None else ends
+    size, version = [1] * n if counts is None else list(counts), [0] * n
+    hist: list[dict] = [{s: c} for s, c in zip(states, size)]
     alive = [True] * n
 
     def similarity(a: int, b: int) -> float:
@@ -41,7 +42,7 @@ def agglomerate(times, states, max_gap: float, min_similarity: float) -> list[tu
 
     def candidate(a: int):
         b = nxt[a]
-        if b < n and times[b] - times[last[a]] <= max_gap:
+        if b < n and times[b] - ends[last[a]] <= max_gap:
             s = similarity(a, b)
             if s >= min_similarity:
                 return (-s, a, b, version[a], version[b])
@@ -75,26 +76,22 @@ def collapse_runs(events: DataFrame, max_gap: float, min_similarity: float = 1.0
     Events with a null entity, time or state are absent. Events at the same time
     are ordered by state. An empty input gives an empty result.
 
-    With ``min_similarity`` 1 merging is associative, so a sequence is cut into
-    blocks of ``block_sec`` whose runs are found in parallel; only the two
+    Equal states have similarity 1, the highest, so they merge before all
+    others, and in any order. A sequence is therefore cut into blocks of
+    ``block_sec`` whose runs of equal states are found in parallel; only the two
     outermost runs of a block are then stitched over the entity, so no task ever
-    holds a whole hot entity. Below 1 the sequence is cut where the gap exceeds
-    ``max_gap``, which no merge can cross.
+    holds a whole hot entity. Below similarity 1 the runs, not the events, are
+    agglomerated further, stretch by stretch: a stretch ends where the gap
+    exceeds ``max_gap``, which no merge can cross. Its cuts are counted block by
+    block, so nothing is ordered over a whole entity but one row for each block.
     """
     e = events.select("entity", F.col("t").cast("double").alias("t"), "state").where("entity is not null and t is not null and state is not null")
-    exact = min_similarity >= 1.0
-    if exact:
-        e = e.withColumn("block", F.floor(F.col("t") / block_sec).cast("long"))
-    else:
-        w = Window.partitionBy("entity").orderBy("t", "state")
-        e = e.withColumn("cut", F.coalesce((F.col("t") - F.lag("t").over(w) > max_gap).cast("int"), F.lit(0)))
-        e = e.withColumn("block", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    e = e.withColumn("block", F.floor(F.col("t") / block_sec).cast("long"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "state"], kind="stable")
         ts, ss = pdf["t"].tolist(), pdf["state"].tolist()
-        runs = agglomerate(ts, ss, max_gap, min_similarity)
-        rows = [(ts[a], ts[b], sum(h.values()), min(h, key=lambda s: (-h[s], s))) for a, b, h in runs]
+        rows = [(ts[a], ts[b], sum(h.values()), ss[a]) for a, b, h in agglomerate(ts, ss, max_gap, 1.0)]
         out = pd.DataFrame(rows, columns=["start_t", "end_t", "n", "state"])
         out["entity"], out["block"], out["edge"] = pdf["entity"].iloc[0], pdf["block"].iloc[0], 0
         out.iloc[[0, -1], out.columns.get_loc("edge")] = 1
@@ -104,8 +101,6 @@ def collapse_runs(events: DataFrame, max_gap: float, min_similarity: float = 1.0
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = e.select("entity", "block", "t", "state").repartition(n, "entity", "block").groupBy("entity", "block").applyInPandas(one, RUN_SCHEMA)
     keep = ["entity", "state", "start_t", "end_t", "n"]
-    if not exact:
-        return runs.select(*keep)
     # Only the outermost runs of a block share the entity's lane; the others stay in lanes of their own.
     lane = F.when(F.col("edge") == 1, F.lit(-1)).otherwise(F.col("block"))
     w = Window.partitionBy("entity", "lane").orderBy("start_t", "end_t", "state")
@@ -113,7 +108,32 @@ def collapse_runs(events: DataFrame, max_gap: float, min_similarity: float = 1.0
     joins = (F.col("lane") == -1) & (F.col("block") != prev("block")) & (F.col("state") == prev("state")) & (F.col("start_t") - prev("end_t") <= max_gap)
     s = runs.withColumn("lane", lane).withColumn("new", F.coalesce((~joins).cast("long"), F.lit(1)))
     s = s.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.groupBy("entity", "lane", "run", "state").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.sum("n").alias("n")).select(*keep)
+    r = s.groupBy("entity", "lane", "run", "state").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t"), F.sum("n").alias("n")).select(*keep)
+    return r if min_similarity >= 1.0 else _merge_further(r, max_gap, min_similarity, block_sec, n)
+
+
+def _merge_further(runs: DataFrame, max_gap: float, min_similarity: float, block_sec: int, tasks: int) -> DataFrame:
+    """Agglomerate runs of equal states below similarity 1, each gap-free stretch by itself."""
+    order = ("start_t", "end_t", "state")
+    w = Window.partitionBy("entity", "block").orderBy(*order)
+    r = runs.withColumn("block", F.floor(F.col("start_t") / block_sec).cast("long"))
+    r = r.withColumn("cut", F.coalesce((F.col("start_t") - F.lag("end_t").over(w) > max_gap).cast("long"), F.lit(0)))
+    r = r.withColumn("cuts", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    b = r.groupBy("entity", "block").agg(F.min("start_t").alias("first_t"), F.max("end_t").alias("last_t"), F.max("cuts").alias("inside"))
+    over = Window.partitionBy("entity").orderBy("block")
+    b = b.withColumn("head", F.coalesce((F.col("first_t") - F.lag("last_t").over(over) > max_gap).cast("long"), F.lit(0)))
+    before = F.coalesce(F.sum(F.col("head") + F.col("inside")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("head")
+    r = r.join(b.select("entity", "block", before.alias("before")), ["entity", "block"]).withColumn("stretch", F.col("before") + F.col("cuts"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order), kind="stable")
+        ts, es = pdf["start_t"].tolist(), pdf["end_t"].tolist()
+        got = agglomerate(ts, pdf["state"].tolist(), max_gap, min_similarity, es, pdf["n"].tolist())
+        rows = [(pdf["entity"].iloc[0], min(h, key=lambda s: (-h[s], s)), ts[a], es[b], sum(h.values())) for a, b, h in got]
+        return pd.DataFrame(rows, columns=["entity", "state", "start_t", "end_t", "n"])
+
+    r = r.select("entity", "stretch", "state", "start_t", "end_t", "n").repartition(tasks, "entity", "stretch")
+    return r.groupBy("entity", "stretch").applyInPandas(one, "entity string, state string, start_t double, end_t double, n long")
 
 
 def tier_events(classified: DataFrame) -> DataFrame:
@@ -125,9 +145,16 @@ def tier_events(classified: DataFrame) -> DataFrame:
     """
     f = parse_frame(F.col("frame_id"), F.col("full_path_resized"), strict=True)
     e = classified.select(f.alias("f"), read_tier(F.col("tier")).alias("state"), F.col("scored_at")).where("state is not null").where("f is not null")
-    e = e.groupBy("f").agg(F.max(F.struct("scored_at", "state"))["state"].alias("state"))
     t = F.col("f.hour") * 3600 + offset_of(F.col("f.frame_index"))
-    return e.select(F.concat_ws("__", "f.stream", "f.day").alias("entity"), t.cast("double").alias("t"), "state")
+    e = e.select(F.concat_ws("__", "f.stream", "f.day").alias("entity"), t.alias("t"), "state", "scored_at").groupBy("entity", "t")
+    if classified.schema["scored_at"].dataType.typeName().startswith("timestamp"):
+        # Time and tier as one number, so that the latest is a plain maximum of a hash aggregate.
+        names = F.array(*[F.lit(x) for x in sorted(TIERS)])
+        at = F.coalesce(F.unix_micros(F.col("scored_at").cast("timestamp")), F.lit(-(1 << 60)))
+        e = e.agg(F.max(at * 4 + F.array_position(names, F.col("state"))).alias("best")).withColumn("state", F.element_at(names, F.pmod(F.col("best"), F.lit(4)).cast("int")))
+    else:
+        e = e.agg(F.max(F.struct("scored_at", "state"))["state"].alias("state"))
+    return e.select("entity", F.col("t").cast("double").alias("t"), "state")
 
 
 def tier_runs(classified: DataFrame, max_gap: float = 15.0) -> DataFrame:

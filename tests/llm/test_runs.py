@@ -37,6 +37,34 @@ def test_near_identical_runs_merge_most_similar_first(spark):
     assert got(runs.collapse_runs(df, 2.0, min_similarity=0.0)) == {(0.0, 4.0, 5, "a")}
 
 
+def slow(events, gap, least):
+    """Merge the most similar neighbours, leftmost first, looking at all pairs each time."""
+    rs = [[t, t, {s: 1}] for t, s in events]
+    while True:
+        best = None
+        for i in range(len(rs) - 1):
+            a, b = rs[i][2], rs[i + 1][2]
+            s = sum(min(c / sum(a.values()), b.get(x, 0) / sum(b.values())) for x, c in a.items())
+            if rs[i + 1][0] - rs[i][1] <= gap and s >= least and (best is None or s > best[0]):
+                best = (s, i)
+        if best is None:
+            return {(a, b, sum(h.values()), min(h, key=lambda x: (-h[x], x))) for a, b, h in rs}
+        i = best[1]
+        for x, c in rs[i + 1][2].items():
+            rs[i][2][x] = rs[i][2].get(x, 0) + c
+        rs[i][1] = rs[i + 1][1]
+        del rs[i + 1]
+
+
+@pytest.mark.parametrize("block,least", [(7, 0.3), (60, 0.5), (10_000, 0.0), (13, 0.7)])
+def test_runs_below_similarity_one_equal_the_slow_search_whatever_the_blocks(spark, block, least):
+    rng = random.Random(11)
+    times = sorted(rng.sample(range(700), 260))
+    events = [("e", float(t), rng.choice("aaabbc")) for t in times]
+    df = spark.createDataFrame(events, "entity string, t double, state string")
+    assert got(runs.collapse_runs(df, 5.0, least, block_sec=block)) == slow([(t, s) for _, t, s in events], 5.0, least)
+
+
 def test_gap_is_inclusive_and_bars_merges():
     assert [r[:2] for r in runs.agglomerate([0, 15, 31], ["x"] * 3, 15, 1.0)] == [(0, 1), (2, 2)]
 
