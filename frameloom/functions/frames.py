@@ -10,13 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that real tables carry around their strings: ASCII blanks and the no-break space.
-_BLANK = "[\\s\\u00a0\\u3000]+"
+_BLANK = " \t\n\x0b\x0c\r\u00a0\u3000"
 FRAME_STEP_SEC = 5
 
 
 def squeeze(c: Column) -> Column:
     """Lower case without any blanks at the ends; null stays null."""
-    return F.lower(F.regexp_replace(c, f"^{_BLANK}|{_BLANK}$", ""))
+    return F.lower(F.btrim(c, F.lit(_BLANK)))
 
 
 def clean_stream(c: Column) -> Column:
@@ -63,8 +63,10 @@ def parse_frame(frame_id: Column, path: Column | None = None, strict: bool = Fal
         return F.when(stream.isNotNull() & day.isNotNull() & hour.isNotNull() & idx.isNotNull(), whole) if strict else whole
 
     # A one-element array binds the split texts to a name, so the patterns run once however often a part is used.
-    both = F.struct(F.coalesce(i, none).alias("i"), F.coalesce(p, none).alias("p"))
-    return F.get(F.transform(F.array(both), build), F.lit(0))
+    # The path is looked at only where the id lacks a part.
+    whole = lambda x: (F.size(x) == 1) & ~F.array_contains(F.coalesce(F.get(x, F.lit(0)), F.array().cast("array<string>")), "")
+    both = F.transform(F.array(F.coalesce(i, none)), lambda x: F.struct(x.alias("i"), F.when(whole(x), none).otherwise(F.coalesce(p, none)).alias("p")))
+    return F.get(F.transform(both, build), F.lit(0))
 
 
 def frame_id_of(stream: Column, day: Column, hour: Column, frame_index: Column) -> Column:

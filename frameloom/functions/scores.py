@@ -39,9 +39,11 @@ def read_tier(c: Column) -> Column:
 
     Null if none of the three words stands in the text, or more than one.
     """
-    s = F.translate(squeeze(c), _WIDE, _NARROW)
+    plain = squeeze(c)
+    s = F.translate(plain, _WIDE, _NARROW)
     found = F.array_distinct(F.regexp_extract_all(s, F.lit(rf"(?<![a-z])({'|'.join(TIERS)})(?![a-z])"), 1))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+    # Most are plainly spelt and need no pattern.
+    return F.when(plain.isin(*TIERS), plain).when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
 def badge(c: Column, good: float = 0.7, fair: float = 0.4) -> Column:
