@@ -88,16 +88,17 @@ def _best_exchange(taker: list[int], gap: int, sizes: list[int], pool: list[tupl
     return best
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, max_rounds: int = 6) -> list[list[int]]:
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Improve a packing by moves and exchanges between its underfull bins.
 
     The least filled bins give, all other underfull bins take, fullest first.
     Each exchange makes the taking bin fuller and the giving ones emptier, so
     the sum of squared fills rises. What the givers still hold is put together
     in as few bins as it needs, and those that run empty are closed. Rounds
-    follow until no bin is saved; a round that saves none is taken back.
+    follow until no bin is saved; a round that saves none is taken back, so
+    there are at most as many as bins.
     """
-    for _ in range(max_rounds):
+    while True:
         fill = [sum(sizes[i] for i in b) for b in bins]
         under = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
         least = -(-sum(sizes[i] for b in bins for i in b) // capacity)

@@ -28,7 +28,7 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 #: With the text cut there, the pattern without its look-ahead finds the same pre-tokens, and faster.
 _CUT = regex.compile(f"(?<=[{_WS}])(?=[{_WS}][^{_WS}])")
 _DOUBLE = regex.compile(f"[{_WS}]{{2}}[^{_WS}]")
-#: Fixed value: the published pre-token pattern, and the same without look-ahead.
+#: Fixed value: the published pre-token pattern (which the tests encode with), and the same without look-ahead.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PATTERN_PLAIN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
@@ -43,9 +43,19 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = No
     return str(Path(folder or os.environ.get("FRAMELOOM_TOKENIZERS", "/opt/tokenizers")) / name)
 
 
+#: Vocabulary files that the driver has sent to this worker, by their path on the driver.
+_SENT: dict[str, bytes] = {}
+
+
+def receive(path: str, shared) -> None:
+    """Keep the broadcast bytes of a vocabulary file in this worker."""
+    if path not in _SENT:
+        _SENT[path] = shared.value
+
+
 @cache
 def ranks_of(path: str) -> dict[bytes, int]:
-    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in (_SENT.get(path) or Path(path).read_bytes()).splitlines() if x)}
 
 
 @cache
@@ -161,6 +171,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     resynchronise is encoded in one piece.
     """
     path = path or vocabulary_path()
+    # The driver alone reads the file (a megabyte or so); the executors get its bytes.
+    shared = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def out_batch(doc_ids: pa.Array, lists: list[list[int]]) -> pa.RecordBatch:
@@ -171,6 +183,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     schema = "doc_id long, n_tokens long" if counts_only else "doc_id long, ids array<int>"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        receive(path, shared)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
@@ -186,6 +199,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     long = long.repartition("doc_id", "k").dropDuplicates(["doc_id", "k"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        receive(path, shared)
         for b in batches:
             rows = b.to_pydict()
             got = [encode_chunk(t, k == 0, k == p - 1, chunk, overlap, path) for t, k, p in zip(rows["text"], rows["k"], rows["parts"])]
@@ -199,6 +213,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, chunk: int = CHUN
     whole_doc = enc.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "ids", "head", "tail"))).alias("parts"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        receive(path, shared)
         for b in batches:
             for at in range(0, b.num_rows, 50):
                 part = b.slice(at, 50)

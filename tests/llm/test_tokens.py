@@ -68,3 +68,16 @@ def test_repeated_rows_longer_than_a_chunk_come_out_once(spark, reference):
     for chunk, overlap in ((500, 100), (500, 1)):
         got = sorted((r.doc_id, list(r.ids)) for r in tk.encode_documents(df, chunk=chunk, overlap=overlap).collect())
         assert got == [(1, reference.encode_ordinary(text)), (2, reference.encode_ordinary(text + "end")), *[(3, reference.encode_ordinary("short"))] * 2]
+
+
+def test_executors_need_no_file(spark, tmp_path):
+    """The file is read on the driver alone: it is gone when the tasks run."""
+    import shutil
+
+    from frameloom.llm import tokens
+
+    path = str(tmp_path / "own.tiktoken")
+    shutil.copy(tokens.vocabulary_path(), path)
+    df = tokens.encode_documents(spark.createDataFrame([(1, "two words"), (2, None)], "doc_id long, text string"), path)
+    (tmp_path / "own.tiktoken").unlink()
+    assert {r.doc_id: bool(r.ids) for r in df.collect()} == {1: True, 2: False}
