@@ -77,6 +77,11 @@ def frame_id_of(stream: Column, day: Column, hour: Column, frame_index: Column)
     )
 
 
+def stream_of(frame_id: Column) -> Column:
+    """Stream name in a canonical frame id."""
+    return F.substring_index(frame_id, "__", 1)
+
+
 def offset_of(frame_index: Column) -> Column:
     """Seconds into the hour at which a frame was taken."""
     return (frame_index - 1) * FRAME_STEP_SEC

@@ -35,6 +35,18 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(F.coalesce(c, F.lit("")), "\u0130", "I")), F.lit(r"[\p{L}\p{M}\p{N}]+"), 0)
 
 
+def stemmed(c: Column) -> Column:
+    """Like tokens, without English stop words and each reduced to its stem by Porter's rules (see stem.py)."""
+    from .stem import stem_all
+
+    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    return stem_all(F.filter(tokens(c), lambda w: ~F.array_contains(stop, w)))
+
+
+#: Ways of cutting a text into terms, by name; the plain one is the default.
+TOKENIZERS = {"plain": tokens, "words": words, "stemmed": stemmed}
+
+
 def word_count(c: Column) -> Column:
     """White-space separated words; null and blank have 0."""
     t = F.trim(F.coalesce(c, F.lit("")))

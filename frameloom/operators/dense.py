@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens
 from ..functions.vectors import dot, l2_normalise, norm
 
 #: Most query vectors a worker multiplies with a batch of rows; more are handled in several passes.
 MAX_QUERY_BLOCK = 4_096
+#: How many times k rows the dense text search fetches before it keeps the best for each frame.
+OVERFETCH = 5
+#: Most scores (queries times rows) that a worker holds at a time.
+MAX_SCORES = 2_000_000
 
 
 class Encoder(Protocol):
@@ -24,6 +30,36 @@ class Encoder(Protocol):
     def encode(self, items: list[str]) -> np.ndarray: ...
 
 
+class HashEncoder:
+    """Signed feature hashing of a text's words, a deterministic stand-in for a text encoder that needs no model.
+
+    A word's md5 digest names its dimension and sign; the row holds the sums,
+    which are small whole numbers.
+    """
+
+    def __init__(self, dims: int = 64):
+        self.dims, self._known = dims, {}
+
+    def _place(self, word: str) -> tuple[int, int]:
+        if word not in self._known:
+            if len(self._known) > 1_000_000:
+                self._known.clear()
+            h = hashlib.md5(word.encode()).hexdigest()
+            self._known[word] = (int(h[:4], 16) % self.dims, 1 if h[4] <= "7" else -1)
+        return self._known[word]
+
+    def encode(self, items: list[str]) -> np.ndarray:
+        m = np.zeros((len(items), self.dims), dtype=np.float32)
+        for i, text in enumerate(items):
+            for w in _ASCII_WORD.findall(text.replace("\u0130", "I").lower()):
+                d, sign = self._place(w)
+                m[i, d] += sign
+        return m
+
+
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+
+
 def encode(df: DataFrame, item: str, make: Callable[[], Encoder], out: str = "vec") -> DataFrame:
     """Add a vector column with a pluggable encoder, made once for each worker process; null items get zero vectors.
 
@@ -42,28 +78,6 @@ def encode(df: DataFrame, item: str, make: Callable[[], Encoder], out: str = "ve
     return df.mapInPandas(run, schema)
 
 
-def hash_features(df: DataFrame, key: list[str], text: str, dims: int = 64) -> DataFrame:
-    """``<key>, dim, w``: signed feature hashing of a text's words, normalised to length 1.
-
-    A deterministic stand-in for a text encoder that needs no model; the vector
-    stays sparse, one row for each dimension that isn't 0. A text without words
-    has no rows, which is a zero vector.
-    """
-    h = F.md5("t")
-    dim = F.pmod(F.conv(F.substring(h, 1, 4), 16, 10).cast("int"), F.lit(dims))
-    sign = F.when(F.substring(h, 5, 1).between("0", "7"), 1).otherwise(-1)
-    e = df.select(*key, F.explode(tokens(F.col(text))).alias("t")).select(*key, dim.alias("dim"), sign.alias("sign"))
-    e = e.groupBy(*key, "dim").agg(F.sum("sign").cast("double").alias("w")).where("w <> 0")
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))
-    return e.withColumn("w", F.col("w") / length)
-
-
-def sparse_cosine(queries: DataFrame, docs: DataFrame, doc_key: str) -> DataFrame:
-    """``query_id, <doc_key>, score`` (9 places) of ``queries(query_id, dim, w)`` and ``docs(<doc_key>, dim, w)``."""
-    j = docs.join(queries.select("query_id", "dim", F.col("w").alias("qw")), "dim")
-    return j.groupBy("query_id", doc_key).agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
-
-
 def cosine_scores(queries: DataFrame, vectors: DataFrame, key: str = "frame_id") -> DataFrame:
     """``query_id, <key>, score``: every query with every row, ``queries(query_id, qvec)`` being a stated, checked set.
 
@@ -89,50 +103,124 @@ def topk_vectors(queries: DataFrame, vectors: DataFrame, k: int, key: str = "fra
     return rank_topk(cosine_scores(queries, vectors, key), k, key)
 
 
-def topk_matmul(queries: DataFrame, vectors: DataFrame, k: int, key: str = "frame_id", block: int = MAX_QUERY_BLOCK) -> DataFrame:
-    """As topk_vectors for wide vectors and many queries: one matrix product for each Arrow batch.
+def _query_matrix(queries: DataFrame, vec: str, most: int | None = MAX_QUERY_BLOCK) -> tuple[list, np.ndarray]:
+    """Ids and unit vectors of a stated query set on the driver; its number is checked before it is read."""
+    rows = queries.select("query_id", vec).where(F.col(vec).isNotNull())
+    rows = (rows if most is None else rows.limit(most + 1)).collect()
+    if most is not None and len(rows) > most:
+        raise ValueError(f"more than {most} queries; use topk_matmul, which takes them in blocks")
+    if not rows:
+        return [], np.zeros((0, 1))
+    rows.sort(key=lambda r: r[0])
+    q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    return [r[0] for r in rows], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-    Queries are taken in blocks of ``block``; every partition hands on no more
-    than k rows for each query.
-    """
-    from functools import reduce
 
-    n = queries.count()
-    passes = max(1, -(-n // block))
-    parts = []
-    key_type = vectors.schema[key].dataType.simpleString()
+def _rows_matrix(column: pa.Array) -> np.ndarray:
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _best(q: np.ndarray, s: np.ndarray, keys: list[np.ndarray], k: int) -> np.ndarray:
+    """Places of the k best of each query among candidates (query number, score, keys): by score, then by the keys in order."""
+    order = np.lexsort((*keys[::-1], -s, q))
+    sorted_q = q[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q, side="left") < k]
+
+
+def topk_product(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...] = ("frame_id",), qvec: str = "vec", positive: bool = False, best_of: str | None = None, most: int | None = MAX_QUERY_BLOCK) -> DataFrame:
+    """``query_id, <keys>, score``: candidates for the k best by cosine (9 places) of each of a stated query set.
+
+    ``queries(query_id, <qvec>)``, ``vectors(<keys>, vec)`` without null
+    vectors. A matrix product for each slice of an Arrow batch, of at most
+    MAX_SCORES scores; each task hands on k rows for each query, those of the
+    highest scores, ties by the keys. With ``positive`` scores of 0 and less
+    don't count. With ``best_of``, one of the keys, only the best row of each
+    of its values counts, which needs no more rows: a value among the k best
+    of all is among the k best of the task that holds its best row.
+    """
+    ids, q = _query_matrix(queries, qvec, most)
     qid_type = queries.schema["query_id"].dataType.simpleString()
-    for i in range(passes):
-        some = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        rows = some.select("query_id", "qvec").collect()
-        if not rows:
-            continue
-        ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best: pd.DataFrame | None = None
-            for b in batches:
-                if not len(b):
+    schema = f"query_id {qid_type}, " + ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys) + ", score double"
+    if not ids:
+        return vectors.sparkSession.createDataFrame([], schema)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    step = max(1, MAX_SCORES // len(ids))
+    target = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        held: list[np.ndarray] = []  # query number, score, keys of what is best so far
+        floor = np.full(len(ids), -np.inf)
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                s = np.round(q @ _rows_matrix(part.column(len(keys))).T, 9)
+                low = floor
+                if s.shape[1] > k and best_of is None:
+                    low = np.maximum(floor, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+                want = s >= low[:, None]
+                if positive:
+                    want &= s > 0
+                qi, ri = np.nonzero(want)
+                if not len(qi):
                     continue
-                m = np.stack(b["vec"].to_numpy()).astype(np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                s = np.round(q @ m.T, 9)
-                keys = b[key].to_numpy()
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(keys)), s.shape), -s), axis=1)[:, :k]
-                got = pd.DataFrame({"query_id": np.repeat(np.array(ids, dtype=object), order.shape[1]), key: keys[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
-                best = got if best is None else pd.concat([best, got])
-                best = best.sort_values(["query_id", "score", key], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-            if best is not None:
-                yield best[["query_id", key, "score"]]
-
-        parts.append(vectors.select(key, "vec").mapInPandas(run, f"query_id {qid_type}, {key} {key_type}, score double"))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], f"query_id {qid_type}, {key} {key_type}, score double, rank int")
-    return rank_topk(reduce(DataFrame.unionByName, parts), k, key)
+                got = [qi, s[qi, ri], *(part.column(i).take(pa.array(ri)).to_numpy(zero_copy_only=False) for i in range(len(keys)))]
+                held = got if not held else [np.concatenate(x) for x in zip(held, got)]
+                if best_of is not None:
+                    # The first of each (query, value) in the order of scores is its best row.
+                    order = _best(held[0], held[1], held[2:], len(held[0]))
+                    value = held[2 + keys.index(best_of)][order].astype(str)
+                    first = np.sort(np.unique(np.rec.fromarrays([held[0][order], value]), return_index=True)[1])
+                    held = [x[order[first]] for x in held]
+                keep = _best(held[0], held[1], held[2:], k)
+                held = [x[keep] for x in held]
+                n = np.bincount(held[0], minlength=len(ids))
+                least = np.full(len(ids), np.inf)
+                np.minimum.at(least, held[0], held[1])
+                floor = np.where(n >= k, least, -np.inf)
+        if held:
+            cols = [pa.array([ids[i] for i in held[0]]), *(pa.array(x) for x in held[2:]), pa.array(held[1])]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target)], schema=target)
+
+    return vectors.select(*keys, "vec").mapInArrow(run, schema)
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T._parse_datatype_string(ddl))
+
+
+def topk_matmul(queries: DataFrame, vectors: DataFrame, k: int, key: str = "frame_id", qvec: str = "qvec", block: int = MAX_QUERY_BLOCK) -> DataFrame:
+    """``query_id, <key>, score, rank``: as topk_vectors, by matrix products, for any number of queries, taken in blocks of about ``block``."""
+    from functools import reduce
+
+    passes = max(1, -(-queries.count() // block))
+    some = [queries if passes == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) for i in range(passes)]
+    return rank_topk(reduce(DataFrame.unionByName, [topk_product(x, vectors, k, (key,), qvec, most=None) for x in some]), k, key)
+
+
+def best_query(queries: DataFrame, vectors: DataFrame, key: str = "frame_id", qvec: str = "vec") -> DataFrame:
+    """``<key>, query_id, score`` (9 places): the most similar of a stated query set for each row; of several the lowest query."""
+    ids, q = _query_matrix(queries, qvec)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    step = max(1, MAX_SCORES // max(1, len(ids)))
+    schema = f"{key} {vectors.schema[key].dataType.simpleString()}, query_id {queries.schema['query_id'].dataType.simpleString()}, score double"
+    if not ids:
+        return vectors.sparkSession.createDataFrame([], schema)
+    target = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value  # in the order of their ids, and argmax takes the first
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                s = np.round(q @ _rows_matrix(part.column(1)).T, 9)
+                top = s.argmax(axis=0)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids[i] for i in top]).cast(target.field(1).type), pa.array(s[top, np.arange(s.shape[1])])], schema=target)
+
+    return vectors.select(key, "vec").mapInArrow(run, schema)
 
 
 def rank_topk(scores: DataFrame, k: int | None, key: str = "frame_id", by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -142,7 +230,7 @@ def rank_topk(scores: DataFrame, k: int | None, key: str = "frame_id", by: tuple
     return r if k is None else r.where(F.col("rank") <= k)
 
 
-def overfetch_dedup(scores: DataFrame, k: int, factor: int = 5, row_key: str = "row_index", exact: bool = False) -> DataFrame:
+def overfetch_dedup(scores: DataFrame, k: int, factor: int = OVERFETCH, row_key: str = "row_index", exact: bool = False) -> DataFrame:
     """Best score for each frame of ``scores(query_id, frame_id, <row_key>, score)``, cut at k.
 
     As shipped, only the ``factor * k`` best rows are looked at, so fewer than
@@ -171,8 +259,3 @@ def rocchio(queries: DataFrame, anchors: DataFrame, key: str = "query_id") -> Da
 def normalised(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """Vectors at unit length, as an index stores them."""
     return vectors.withColumn(vec, l2_normalise(F.col(vec)))
-
-
-def as_column(values: list[float]) -> Column:
-    """A literal vector."""
-    return F.array(*[F.lit(float(v)) for v in values])

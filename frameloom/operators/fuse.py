@@ -24,16 +24,17 @@ class GateError(ValueError):
     """A signal broke the rules of the pre-fusion gate."""
 
 
-def location_penalty(scores: DataFrame, streams: DataFrame, hints: DataFrame, strict: dict[str, list[str]] | None = None, factor: float = 0.5) -> DataFrame:
+def location_penalty(scores: DataFrame, streams: DataFrame | None, hints: DataFrame, strict: dict[str, list[str]] | None = None, factor: float = 0.5) -> DataFrame:
     """Halve scores of frames from unexpected places.
 
-    ``scores(query_id, frame_id, score)``, ``streams(frame_id, stream_name)``,
-    ``hints(query_id, location_hint)``. A query without hints, or with ``any``
+    ``scores(query_id, frame_id, score)``, ``streams(frame_id, stream_name)`` (or
+    none if the scores have a stream_name), ``hints(query_id, location_hint)``. A query without hints, or with ``any``
     alone, is left alone; so is a frame of unknown stream. For a query in
     ``strict`` only its listed streams are penalised; for others a frame's
     stream must contain a hint or be contained in one, in any case.
     """
-    j = scores.join(streams.select("frame_id", "stream_name"), "frame_id", "left").join(hints.select("query_id", "location_hint"), "query_id", "left")
+    j = scores if streams is None else scores.join(streams.select("frame_id", "stream_name"), "frame_id", "left")
+    j = j.join(hints.select("query_id", "location_hint"), "query_id", "left")
     s = F.lower("stream_name")
     match = F.exists("location_hint", lambda h: F.contains(s, F.lower(h)) | F.contains(F.lower(h), s))
     free = F.col("location_hint").isNull() | (F.col("location_hint") == F.array(F.lit("any"))) | F.col("stream_name").isNull()
@@ -56,12 +57,12 @@ def merge_signals(signals: dict[str, DataFrame]) -> DataFrame:
 
 
 def gate_report(signals: dict[str, DataFrame], slack: float = 1e-6) -> DataFrame:
-    """``query_id, signal, n, top, n_null, n_not_finite, n_out_of_range, ok`` of each non-empty list."""
+    """``query_id, signal, n, top, n_null, n_not_finite, n_out_of_range, ok`` of each non-empty list; ``top`` is the highest finite score."""
     long = reduce(DataFrame.unionByName, [d.select("query_id", F.lit(n).alias("signal"), "score") for n, d in signals.items()])
     s = F.col("score")
     odd = F.isnan(s) | (F.abs(s) == float("inf"))
     g = long.groupBy("query_id", "signal").agg(
-        F.count("*").alias("n"), F.max(s).alias("top"), F.count_if(s.isNull()).alias("n_null"), F.count_if(odd).alias("n_not_finite"), F.count_if(~odd & ((s < -slack) | (s > 1 + slack))).alias("n_out_of_range"),
+        F.count("*").alias("n"), F.max(F.when(~odd, s)).alias("top"), F.count_if(s.isNull()).alias("n_null"), F.count_if(odd).alias("n_not_finite"), F.count_if(~odd & ((s < -slack) | (s > 1 + slack))).alias("n_out_of_range"),
     )
     return g.withColumn("ok", (F.col("n_null") == 0) & (F.col("n_not_finite") == 0) & (F.col("n_out_of_range") == 0) & F.coalesce(F.col("top") > 0, F.lit(False)))
 

@@ -80,3 +80,11 @@ def concat_text_by_frame(chunks: DataFrame, text: str, order: str = "row_index")
     """``frame_id, text``: the non-blank texts of a frame in order, joined by blanks."""
     item = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", F.struct(F.col(order).alias("o"), F.col(text).alias("t")))
     return chunks.groupBy("frame_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), " ").alias("text"))
+
+
+def index_documents(frames: DataFrame, transcripts: DataFrame, captions: DataFrame) -> DataFrame:
+    """``frame_id, stream_name, transcript_text, caption_text`` of every frame; missing texts are empty."""
+    t = concat_text_by_frame(transcripts, "raw_text").withColumnRenamed("text", "transcript_text")
+    c = captions.select("frame_id", F.col("caption").alias("caption_text"))
+    d = frames.select("frame_id", "stream_name").join(t, "frame_id", "left").join(c, "frame_id", "left")
+    return d.select("frame_id", "stream_name", F.coalesce("transcript_text", F.lit("")).alias("transcript_text"), F.coalesce("caption_text", F.lit("")).alias("caption_text"))

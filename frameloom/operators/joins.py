@@ -24,9 +24,15 @@ def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.select(*on).distinct().join(right.select(*on), on, "left_anti")
 
 
-def inner_strict(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Inner join in which a left key without partner is an error when it is read."""
+def inner_strict(left: DataFrame, right: DataFrame, on: str, on_missing: str = "raise") -> DataFrame:
+    """Inner join in which a left key without partner is an error when it is read.
+
+    With ``on_missing="report"`` such rows come out as well, and a column
+    ``problem`` says what is wrong with them (null for the others).
+    """
     j = left.join(right.withColumn("_there", F.lit(True)), on, "left")
+    if on_missing == "report":
+        return j.withColumn("problem", F.when(F.col("_there").isNull(), F.lit("no partner"))).drop("_there")
     return j.withColumn(on, F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit(f"no partner for {on} "), F.col(on).cast("string"))).cast(left.schema[on].dataType)).otherwise(F.col(on))).drop("_there")
 
 

@@ -17,6 +17,31 @@ def postings(docs: DataFrame, text: str, key: str = "frame_id", split: Callable[
     return docs.select(key, F.explode(split(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
+def postings_with_length(docs: DataFrame, text: str, split: Callable[[Column], Column] = tokens, key: str = "frame_id") -> DataFrame:
+    """``term, <key>, tf, len``: postings that carry the length of their document, so that scoring needs no other table."""
+    t = docs.select(key, split(F.col(text)).alias("toks"))
+    return t.select(key, F.size("toks").alias("len"), F.explode("toks").alias("term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+
+
+def term_weights(queries: DataFrame, terms: DataFrame, fields: DataFrame, split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``query_id, field, term, idf, avg_len`` of the terms of a stated query set: ``queries(query_id, query_text)``."""
+    q = queries.select("query_id", F.explode(F.array_distinct(split(F.col("query_text")))).alias("term"))
+    w = terms.join(F.broadcast(q), "term").join(F.broadcast(fields), "field")
+    return w.select("query_id", "field", "term", (F.log(F.col("n_docs") / (F.col("df") + 1)) + 1).alias("idf"), "avg_len")
+
+
+def bm25_fields(postings: DataFrame, weights: DataFrame, fields: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """``query_id, frame_id, <field>...``: BM25 (9 places) of every document with a query term, a column for each field (null without a hit).
+
+    ``postings(field, term, frame_id, tf, len)`` is scanned once for all fields
+    and queries; the weights of a checked query set's terms are the small side.
+    One exchange brings a document's parts together.
+    """
+    s = postings.where(F.col("field").isin(fields)).join(F.broadcast(weights), ["field", "term"])
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return s.groupBy("query_id", "frame_id").agg(*[F.round(F.sum(F.when(F.col("field") == f, part)), 9).alias(f) for f in fields])
+
+
 def field_stats(docs: DataFrame, text: str) -> DataFrame:
     """One row ``n_docs, avg_len``; documents without text count."""
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avg_len"))

@@ -8,61 +8,69 @@ from pyspark.sql import functions as F
 from ..functions.frames import frame_id_of, parse_frame
 from ..functions.scores import read_tier
 from ..functions.text import expand_query
-from ..operators import ingest
+from ..operators.dense import MAX_QUERY_BLOCK
 from ..session import table
+from .index import Index
 
 
 class Archive:
-    """Lazy views over a data directory; nothing is read until a plan runs."""
+    """Lazy views over a data directory and its lasting index, whose parts are written where they aren't there yet.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        self._docs: DataFrame | None = None
+    ``index_root`` names the index's folder (by default one in the shared
+    folder, named after the state of the tables, so that changed tables get a
+    new one).
+    """
+
+    def __init__(self, spark: SparkSession, root: str, index_root: str | None = None, analyzer: str = "plain"):
+        self.spark, self.root, self.analyzer = spark, root, analyzer
+        self._index_root, self._index, self._queries = index_root, None, None
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            self._index = Index(self.spark, self.root, self._index_root, self.analyzer)
+        return self._index
 
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
 
     def frames(self) -> DataFrame:
-        return ingest.archive_frames(self.raw("frames"))
+        return self.index.read("frames")
 
     def captions(self) -> DataFrame:
-        return ingest.archive_captions(self.raw("augmented_captions"))
+        return self.index.read("captions")
 
     def transcripts(self) -> DataFrame:
-        return ingest.archive_transcripts(self.raw("transcript_aligned"))
+        return self.index.read("transcripts")
 
     def vectors(self) -> DataFrame:
-        return ingest.archive_vectors(self.raw("siglip2_index"))
+        """``manifest_row_index, frame_id, vec, norm`` of the usable vectors."""
+        return self.index.read("vectors")
 
     def docs(self) -> DataFrame:
-        """Inverted-index documents: every frame with its transcript and caption text, missing ones empty.
-
-        Every field and statistic of the sparse approaches reads them, so they are kept (spilling to disk) for
-        this archive's plans; an index that outlives a session is written by the caller.
-        """
-        if self._docs is None:
-            self._docs = self._build_docs().persist()
-        return self._docs
-
-    def _build_docs(self) -> DataFrame:
-        t = ingest.concat_text_by_frame(self.transcripts(), "raw_text").withColumnRenamed("text", "transcript_text")
-        c = self.captions().select("frame_id", F.col("caption").alias("caption_text"))
-        d = self.frames().select("frame_id", "stream_name").join(t, "frame_id", "left").join(c, "frame_id", "left")
-        return d.select("frame_id", "stream_name", F.coalesce("transcript_text", F.lit("")).alias("transcript_text"), F.coalesce("caption_text", F.lit("")).alias("caption_text"))
+        """Inverted-index documents: every frame with its transcript and caption text, missing ones empty."""
+        return self.index.read("docs")
 
     def queries(self) -> DataFrame:
-        """``query_id, raw_query, query_text`` (expanded), ``synonyms, location_hint, qtype, w_vis, w_text``."""
-        p = self.raw("scene_prompts")
-        return p.select(
-            "query_id", F.col("query_text").alias("raw_query"), expand_query(F.col("query_text"), F.col("synonyms")).alias("query_text"), "synonyms", "location_hint",
-            F.when(F.col("w_text") > F.col("w_vis"), "speech").otherwise("visual").alias("qtype"), "w_vis", "w_text",
-        )
+        """``query_id, raw_query, query_text`` (expanded), ``synonyms, location_hint, qtype, w_vis, w_text``.
+
+        A stated set: its number is checked and it is read once, so that the plans hold it as it is.
+        """
+        if self._queries is None:
+            p = self.raw("scene_prompts")
+            q = p.select(
+                "query_id", F.col("query_text").alias("raw_query"), expand_query(F.col("query_text"), F.col("synonyms")).alias("query_text"), "synonyms", "location_hint",
+                F.when(F.col("w_text") > F.col("w_vis"), "speech").otherwise("visual").alias("qtype"), "w_vis", "w_text",
+            )
+            rows = q.limit(MAX_QUERY_BLOCK + 1).collect()
+            if len(rows) > MAX_QUERY_BLOCK:
+                raise ValueError(f"more than {MAX_QUERY_BLOCK} queries; take them in blocks")
+            self._queries = self.spark.createDataFrame(rows, q.schema)
+        return self._queries
 
     def query_vectors(self) -> DataFrame:
-        """``query_id, qvec``: Qn looks like the first usable frame whose row number ends in n - 1."""
-        v = self.vectors().withColumn("n", F.col("manifest_row_index") % 10)
-        g = v.groupBy("n").agg(F.min_by("vec", "manifest_row_index").alias("qvec"))
-        return g.select(F.concat(F.lit("Q"), (F.col("n") + 1).cast("string")).alias("query_id"), "qvec")
+        """``query_id, qvec``, as the index holds them."""
+        return self.index.read("query_vectors").withColumnRenamed("vec", "qvec")
 
     def tiers(self) -> DataFrame:
         """``manifest_idx, frame_id, stream_name, day, hour, frame_index, relevance_score, best_query_id, tier``: the latest score of each frame with a readable tier, however spelt."""

@@ -12,7 +12,8 @@ from ..functions import scores as fs
 from ..functions import text as ft
 from ..functions import vectors as fv
 from ..operators import curate, dense, evaluate, fuse, ingest, joins, rank, sparse
-from ..sources import files
+from ..session import checkpointed, shared_folder
+from ..sources import files, storage
 from . import approaches as ap
 from .archive import Archive
 
@@ -49,6 +50,64 @@ def scan_frames(a: Archive) -> DataFrame:
     return files.derive_frames(a.raw("frames").select(F.col("full_path").alias("path")).distinct())
 
 
+def _place(a: Archive, name: str) -> str:
+    """Where a query that writes and reads again keeps its files."""
+    return shared_folder(a.spark, f"round_trips/{storage.fingerprint(a.spark, [a.root])}/{name}")
+
+
+_MANIFEST = ["frame_id", "stream_name", "day", "hour", "frame_index", "time_offset_sec", "stream_type", "timestamp_str", "full_path"]
+
+
+@query
+def manifest_sink(a: Archive) -> DataFrame:
+    """The manifest written as Parquet, JSONL and CSV, each read again whole."""
+    m = a.frames().select(*_MANIFEST)
+    at = files.write_manifest(m, _place(a, "manifest_sink"))
+    read = {"parquet": a.spark.read.parquet(at["parquet"]), "jsonl": files.scan_jsonl(a.spark, at["jsonl"], m.schema), "csv": files.scan_csv(a.spark, at["csv"], _MANIFEST, m.schema)}
+    return joins.union_all(*[d.select(F.lit(k).alias("kind"), *_MANIFEST) for k, d in read.items()])
+
+
+@query
+def scan_transcripts(a: Archive) -> DataFrame:
+    """S3: transcripts written as one JSON document for each hour, and a broken one, then read as files."""
+    key = ["day", "stream_name", "hour"]
+    item = F.struct("time_offset_sec", "row_index", "raw_text")
+    t = a.transcripts().where("time_offset_sec is not null and stream_name is not null and day is not null and hour is not null")
+    g = t.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("c"))  # an hour of speech
+    chunk = lambda x: F.struct(F.array(x["time_offset_sec"].cast("double"), x["time_offset_sec"] + 5.0).alias("timestamp"), x["raw_text"].alias("text"))
+    docs = g.select(*key, F.to_json(F.struct(F.transform("c", chunk).alias("chunks"))).alias("value"))
+    broken = a.spark.createDataFrame([("day0", "broken", 0, '{"chunks": [')], "day string, stream_name string, hour int, value string")
+    at = _place(a, "scan_transcripts")
+    docs.unionByName(broken).write.mode("overwrite").partitionBy(*key).text(at)
+    return files.scan_transcripts(a.spark, at, "*.txt", r"day=(day\d+)/stream_name=([^/]+)/hour=(\d{1,2})/[^/]+$").drop("n_bounds")
+
+
+@query
+def scan_jsonl_strict(a: Archive) -> DataFrame:
+    """Captions as JSON lines by stream, with a blank line for a null one, a list for an empty one and a cut line for one without OCR text, then checked line by line."""
+    c = a.captions().select("frame_id", "manifest_row_index", "caption", "ocr_text", ff.stream_of(F.col("frame_id")).alias("shard"))
+    line = F.when(F.col("caption").isNull(), "").when(F.trim("caption") == "", "[1]").when(F.coalesce(F.trim("ocr_text"), F.lit("")) == "", '{"frame_id": ').otherwise(F.to_json(F.struct("frame_id", "caption")))
+    at = _place(a, "scan_jsonl_strict")
+    c.withColumn("value", line).repartition("shard").sortWithinPartitions("shard", "manifest_row_index", "frame_id").select("shard", "value").write.mode("overwrite").partitionBy("shard").text(at)
+    return files.jsonl_violations(a.spark, at).select(F.regexp_extract("file", r"shard=([^/]+)/", 1).alias("shard"), "line_no", "reason")
+
+
+@query
+def scan_csv_header(a: Archive) -> DataFrame:
+    """Two columns of the manifest's CSV file, types from the schema asked for."""
+    at = files.write_manifest(a.frames().select(*_MANIFEST), _place(a, "scan_csv_header"))
+    return files.scan_csv(a.spark, at["csv"], ["frame_id", "hour"], a.frames().select(*_MANIFEST).schema)
+
+
+@query
+def scan_first_existing(a: Archive) -> DataFrame:
+    """The manifest from the first of four places that exists."""
+    at = files.write_manifest(a.frames().select(*_MANIFEST), _place(a, "scan_first_existing"))
+    found = files.first_existing(a.spark, [at["csv"] + "-old", at["jsonl"] + "-old", at["jsonl"], at["csv"]])
+    kind = "jsonl" if found == at["jsonl"] else "other"
+    return files.scan_jsonl(a.spark, found, a.frames().select(*_MANIFEST).schema).groupBy("stream_name").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+
+
 @query
 def scan_embeddings(a: Archive) -> DataFrame:
     """Vectors that are null, of a wrong length or not finite."""
@@ -76,18 +135,26 @@ def index_docs(a: Archive) -> DataFrame:
     return a.docs()
 
 
+@query
+def index_build(a: Archive) -> DataFrame:
+    """The lasting index, built where it isn't there yet, then every part read again and counted."""
+    return a.index.build().verify()
+
+
 @query
 def index_verify(a: Archive) -> DataFrame:
-    """Three spot-check terms, the three best documents of each."""
+    """Number of documents, and three spot-check terms with the three best documents of each."""
     q = a.spark.createDataFrame([("cup", "cup"), ("mug", "mug"), ("image", "image")], "query_id string, query_text string")
-    return _six(dense.rank_topk(sparse.bm25(a.docs(), "caption_text", q), 3))
+    top = dense.rank_topk(ap.bm25(a, q, ("caption",)).withColumnRenamed("caption", "score"), 3)
+    return _six(top).crossJoin(F.broadcast(a.index.read("fields").where("field = 'caption'").select("n_docs")))
 
 
 @query
 def vector_index_build(a: Archive) -> DataFrame:
-    """Count and dimension of the normalised index, and how many rows are not of unit norm."""
-    v = dense.normalised(a.vectors())
-    return v.agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("dim_min"), F.max(F.size("vec")).alias("dim_max"), F.count_if(~fv.is_unit(F.col("vec"))).alias("not_unit"))
+    """The index read again: count, dimension, rows whose stored norm isn't that of the vector, and rows that aren't of unit norm once normalised."""
+    v = a.vectors()
+    wrong = F.abs(F.col("norm") - fv.norm(F.col("vec"))) > 1e-9 * F.col("norm")
+    return v.agg(F.count("*").alias("n"), F.min(F.size("vec")).alias("dim_min"), F.max(F.size("vec")).alias("dim_max"), F.count_if(wrong).alias("wrong_norm"), F.count_if(~fv.is_unit(fv.l2_normalise(F.col("vec")))).alias("not_unit"))
 
 
 @query
@@ -99,18 +166,21 @@ def row_map_build(a: Archive) -> DataFrame:
 
 @query
 def index_checks(a: Archive) -> DataFrame:
-    """Frames with a vector but no manifest row, and frame ids that come twice."""
-    v = a.vectors()
+    """Frames with a vector but no manifest row, and frame ids that come twice; checked over the index and three planted rows."""
+    first = a.vectors().agg(F.min("frame_id").alias("frame_id"))
+    planted = a.spark.createDataFrame([("ghost__day1__08_0001",), ("ghost__day1__08_0002",)], "frame_id string")
+    v = joins.union_all(a.vectors().select("frame_id"), first, planted)
     missing = joins.unmatched(v, a.frames(), ["frame_id"]).select("frame_id", F.lit("missing").alias("problem"))
     return missing.unionByName(joins.duplicates(v, "frame_id").select("frame_id", F.lit("twice").alias("problem")))
 
 
 @query
 def pending_shards(a: Archive) -> DataFrame:
-    """Stream-days that have frames but no captions yet."""
-    wanted = a.frames().select(files.shard_key(F.col("stream_name"), F.col("day")).alias("shard"))
+    """Hours of a stream-day that have frames but no caption yet."""
+    hour = lambda c: F.format_string("%02d", c)
+    wanted = a.frames().select(files.shard_key(F.col("stream_name"), F.col("day"), hour(F.col("hour"))).alias("shard"))
     f = ff.parse_frame(F.col("frame_id"))
-    done = a.raw("augmented_captions").select(files.shard_key(f["stream"], f["day"]).alias("shard"))
+    done = a.raw("augmented_captions").where("caption is not null").select(files.shard_key(f["stream"], f["day"], hour(f["hour"])).alias("shard"))
     return files.pending_shards(wanted, done)
 
 
@@ -169,8 +239,9 @@ def caption_filter(a: Archive) -> DataFrame:
 
 @query
 def caption_filter_check(a: Archive) -> DataFrame:
-    """The filtered captions that are too short (none)."""
-    return curate.short_captions(curate.filter_captions(a.captions())).select("frame_id")
+    """The captions that are too short, before the filter and after it (none then)."""
+    both = {"before": a.captions(), "after": curate.filter_captions(a.captions())}
+    return joins.union_all(*[curate.short_captions(c).select(F.lit(n).alias("stage"), "frame_id") for n, c in both.items()])
 
 
 def _gated(a: Archive) -> DataFrame:
@@ -274,9 +345,10 @@ def join_full_outer_scores(a: Archive) -> DataFrame:
 
 @query
 def join_inner_strict(a: Archive) -> DataFrame:
-    """Captions with their frames, all of which must exist."""
-    c = a.captions().join(a.frames().select("frame_id"), "frame_id", "left_semi")
-    return joins.inner_strict(c.select("frame_id", "manifest_row_index"), a.frames().select("frame_id", "stream_name"), "frame_id").select("frame_id", "manifest_row_index", "stream_name")
+    """Captions with their frames, those without a frame reported, among them a planted one."""
+    planted = a.spark.createDataFrame([("ghost__day1__08_0001", -1)], "frame_id string, manifest_row_index int")
+    c = a.captions().select("frame_id", "manifest_row_index").unionByName(planted)
+    return joins.inner_strict(c, a.frames().select("frame_id", "stream_name"), "frame_id", "report").select("frame_id", "manifest_row_index", "stream_name", "problem")
 
 
 @query
@@ -338,9 +410,8 @@ def max_normalise(a: Archive) -> DataFrame:
 
 @query
 def tier_stats(a: Archive) -> DataFrame:
-    """Counts and shares of the tiers."""
-    s = curate.tier_stats(a.tiers())
-    return s.drop("hot_pct", "warm_pct", "cold_pct", "upload_gb").withColumn("hot_share", F.round(F.col("hot_count") / F.col("total"), 6))
+    """Counts and shares of the tiers, and the upload estimate."""
+    return curate.tier_stats(a.tiers())
 
 
 @query
@@ -496,8 +567,12 @@ def multi_key_sort(a: Archive) -> DataFrame:
 
 @query
 def top10_assert(a: Archive) -> DataFrame:
-    """L4: lists of another length than ten (none expected)."""
-    return rank.length_violations(rank.finish(ap.approach_b(a), a.frames()), 10, exact=True)
+    """L4: lists of another length than ten among the finished lists of approach B and those of the threshold cascade."""
+    b = ap.approach_b(a)
+    short = rank.threshold_cascade(b.select("query_id", "frame_id", "score"), 0.99999, 0.9)
+    lists = {"B": rank.finish(b, a.frames()), "cascade": short}
+    long = joins.union_all(*[d.select(F.concat_ws("|", "query_id", F.lit(n)).alias("query_id")) for n, d in lists.items()])
+    return rank.length_violations(long, 10, exact=True)
 
 
 @query
@@ -554,6 +629,12 @@ def analyze(a: Archive) -> DataFrame:
     return t
 
 
+@query
+def analyze_stemmed(a: Archive) -> DataFrame:
+    """The same with stems (optional; the index takes them with ``analyzer="stemmed"``)."""
+    return a.captions().select("frame_id", F.posexplode(ft.stemmed(F.col("caption"))).alias("pos", "token"))
+
+
 @query
 def postings(a: Archive) -> DataFrame:
     """T4: inverted index of the documents table, words of any script."""
@@ -562,8 +643,8 @@ def postings(a: Archive) -> DataFrame:
 
 @query
 def field_stats(a: Archive) -> DataFrame:
-    """T4: number of documents and mean field length."""
-    return _six(sparse.field_stats(a.docs(), "caption_text"), "avg_len")
+    """T4: number of documents and mean length of the caption field, as the index holds them."""
+    return _six(a.index.read("fields").where("field = 'caption'").select("n_docs", "avg_len"), "avg_len")
 
 
 @query
@@ -592,9 +673,9 @@ def approach_a(a: Archive) -> DataFrame:
 
 @query
 def l2_normalise(a: Archive) -> DataFrame:
-    """V1: sum and largest value of each normalised vector."""
+    """V1: every value of each normalised vector."""
     v = dense.normalised(a.vectors())
-    return v.select("manifest_row_index", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.array_max("vec"), 6).alias("top"))
+    return v.select("manifest_row_index", F.posexplode("vec").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
 @query
@@ -639,16 +720,18 @@ def fusion_weights(a: Archive) -> DataFrame:
 
 @query
 def prefusion_gate(a: Archive) -> DataFrame:
-    """V8: report of the gate over the four signals and a broken one."""
-    s = ap.signals(a) | {"broken": _events(a).withColumn("score", F.col("score") * 10)}
-    return _six(fuse.gate_report(s), "top").drop("n_not_finite")
+    """V8: report of the gate over the four signals, a list beyond [0, 1], and one with scores that are null or no numbers."""
+    s = ap.signals(a)
+    odd = s["visual"].withColumn("score", F.when(F.col("rank") == 1, F.lit(None)).when(F.col("rank") <= 3, F.lit(float("nan"))).when(F.col("rank") == 4, F.lit(float("inf"))).otherwise(F.col("score")))
+    s = s | {"broken": _events(a).withColumn("score", F.col("score") * 10), "odd": odd}
+    return _six(fuse.gate_report(s), "top")
 
 
 @query
 def rerank_hybrid(a: Archive) -> DataFrame:
     """V9: re-ranked fusion, de-duplicated, ten best."""
-    r = fuse.rerank_hybrid(ap.overlap_logits(a, ap.approach_c(a))).select("query_id", "frame_id", "score")
-    return _six(rank.renumber(rank.temporal_dedup(r, a.frames()), 10))
+    r = checkpointed(fuse.rerank_hybrid(ap.overlap_logits(a, checkpointed(ap.approach_c(a)))).select("query_id", "frame_id", "score"))
+    return _six(rank.renumber(rank.temporal_dedup(r, ap.only(a.frames(), r)), 10))
 
 
 @query
@@ -673,9 +756,8 @@ def rocchio(a: Archive) -> DataFrame:
 @query
 def qaff_score(a: Archive) -> DataFrame:
     """Best query, rounded score and tier of each frame."""
-    q = a.query_vectors().select(F.regexp_extract("query_id", r"(\d+)$", 1).cast("int").alias("query_id"), "qvec")
-    s = dense.cosine_scores(q.select((F.col("query_id") - 1).alias("query_id"), "qvec"), a.vectors())
-    return curate.best_query_per_frame(s, 0.4, 0.3)
+    q = a.query_vectors().select((F.regexp_extract("query_id", r"(\d+)$", 1).cast("int") - 1).alias("query_id"), "qvec")
+    return curate.best_query_per_frame(dense.best_query(q, a.vectors(), qvec="qvec"), 0.4, 0.3)
 
 
 @query

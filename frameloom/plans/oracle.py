@@ -162,17 +162,17 @@ def _with(names: str, select: str, recursive: str = "") -> str:
     return (f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" if parts else "") + select
 
 
-def _dedup(source: str, scope: str = "stream_name", extra: str = "") -> str:
-    """Greedy suppression as a recursion over each list, keeping the times of what was kept."""
+def _dedup(source: str, scope: str = "stream_name", extra: str = "", tag: str = "") -> str:
+    """Greedy suppression as a recursion over each list, keeping the times of what was kept; its tables' names end in ``tag``."""
     return f"""
-dl AS (SELECT l.query_id, l.frame_id, l.score, time_offset_sec::double AS t, stream_name, day, hour, row_number() OVER (PARTITION BY l.query_id, {scope} ORDER BY l.score DESC, l.frame_id) AS n FROM {source} l LEFT JOIN fr USING (frame_id)),
-rec AS (
-  SELECT query_id, frame_id, score, t, stream_name, day, hour, n, [t] AS kept, true AS keep FROM dl WHERE n = 1 AND t IS NOT NULL
+dl{tag} AS (SELECT l.query_id, l.frame_id, l.score, time_offset_sec::double AS t, stream_name, day, hour, row_number() OVER (PARTITION BY l.query_id, {scope} ORDER BY l.score DESC, l.frame_id) AS n FROM {source} l LEFT JOIN fr USING (frame_id)),
+rec{tag} AS (
+  SELECT query_id, frame_id, score, t, stream_name, day, hour, n, [t] AS kept, true AS keep FROM dl{tag} WHERE n = 1 AND t IS NOT NULL
   UNION ALL
   SELECT d.query_id, d.frame_id, d.score, d.t, d.stream_name, d.day, d.hour, d.n, CASE WHEN len(list_filter(r.kept, lambda y: abs(y - d.t) < 10)) = 0 THEN list_append(r.kept, d.t) ELSE r.kept END,
          len(list_filter(r.kept, lambda y: abs(y - d.t) < 10)) = 0
-  FROM rec r JOIN dl d ON d.query_id = r.query_id AND {' AND '.join(f'd.{s.strip()} = r.{s.strip()}' for s in scope.split(','))} AND d.n = r.n + 1),
-dd AS (SELECT query_id, frame_id, score FROM rec WHERE keep UNION ALL SELECT query_id, frame_id, score FROM dl WHERE t IS NULL){extra}"""
+  FROM rec{tag} r JOIN dl{tag} d ON d.query_id = r.query_id AND {' AND '.join(f'd.{s.strip()} = r.{s.strip()}' for s in scope.split(','))} AND d.n = r.n + 1),
+dd{tag} AS (SELECT query_id, frame_id, score FROM rec{tag} WHERE keep UNION ALL SELECT query_id, frame_id, score FROM dl{tag} WHERE t IS NULL){extra}"""
 
 
 _RANK = "cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS integer) AS rank"
@@ -217,14 +217,22 @@ ORACLE: dict[str, str] = {
     "scan_embeddings": "SELECT DISTINCT manifest_row_index, CASE WHEN vec IS NULL THEN 'null' WHEN len(vec) <> 64 THEN 'wrong length' ELSE 'not finite' END AS reason FROM siglip2_index WHERE vec IS NULL OR len(vec) <> 64 OR len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) > 0",
     "export_windows": _with("b,fr", f"SELECT query_id, rank, stream_name, {_hms('(hour * 3600 + greatest(0, time_offset_sec - 5))')} AS start_time, {_hms('(hour * 3600 + time_offset_sec + 5)')} AS end_time, printf('%.4f', score) AS score FROM fin", _dedup("b", extra=_FINISH)),
     "index_docs": _with("docs", "SELECT * FROM docs"),
-    "index_verify": _with("docs", f"""SELECT query_id, frame_id, round(score, 6) AS score, rank FROM (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS integer) AS rank FROM (
-        SELECT term AS query_id, frame_id, round((ln(n_docs / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / avg_len)), 9) AS score FROM (
+    "index_build": _with("docs,vec,tr,cap,qv", f"""SELECT part, n AS n_written, n AS n_read, true AS ok FROM (
+        SELECT 'frames' AS part, (SELECT count(*) FROM fr) AS n UNION ALL SELECT 'captions', (SELECT count(*) FROM cap) UNION ALL SELECT 'transcripts', (SELECT count(*) FROM tr) UNION ALL SELECT 'docs', (SELECT count(*) FROM docs)
+        UNION ALL SELECT 'postings', (SELECT sum(len(list_distinct({_TOK.format('transcript_text')})) + len(list_distinct({_TOK.format('caption_text')}))) FROM docs)
+        UNION ALL SELECT 'terms', (SELECT count(*) FROM (SELECT DISTINCT 1, unnest({_TOK.format('transcript_text')}) FROM docs UNION ALL SELECT DISTINCT 2, unnest({_TOK.format('caption_text')}) FROM docs)) UNION ALL SELECT 'fields', 2
+        UNION ALL SELECT 'vectors', (SELECT count(*) FROM vec) UNION ALL SELECT 'query_vectors', (SELECT count(*) FROM qv)
+        UNION ALL SELECT 'text_vectors', (SELECT count(DISTINCT k) FROM htr0 JOIN tr ON tr.row_index = k WHERE tr.frame_id IS NOT NULL) + (SELECT count(DISTINCT k) FROM hcap0))""".replace("htr0", f"({_CTE['htr0'][1]})").replace("hcap0", f"({_CTE['hcap0'][1]})")),
+    "index_verify": _with("docs", f"""SELECT query_id, frame_id, {_SIX}, rank, n_docs FROM (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS integer) AS rank FROM (
+        SELECT term AS query_id, frame_id, n_docs, round((ln(n_docs / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / avg_len)), 9) AS score FROM (
           SELECT term, frame_id, n, count(*) AS tf, count(*) OVER (PARTITION BY term) AS df FROM (SELECT frame_id, len({_TOK.format('caption_text')}) AS n, unnest({_TOK.format('caption_text')}) AS term FROM docs) WHERE term IN ('cup', 'mug', 'image') GROUP BY 1, 2, 3),
           (SELECT count(*) AS n_docs, avg(len({_TOK.format('caption_text')})) AS avg_len FROM docs))) WHERE rank <= 3"""),
-    "vector_index_build": _with("vec", "SELECT count(*) AS n, min(len(vec)) AS dim_min, max(len(vec)) AS dim_max, 0 AS not_unit FROM vec"),
+    "vector_index_build": _with("vec", """SELECT count(*) AS n, min(len(vec)) AS dim_min, max(len(vec)) AS dim_max, count(*) FILTER (NOT sqrt(list_dot_product(vec, vec)) > 0) AS wrong_norm,
+        count(*) FILTER (abs(sqrt(list_dot_product(u, u)) - 1) >= 1e-4) AS not_unit FROM (SELECT vec, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS u FROM vec)"""),
     "row_map_build": _with("vec,fr", "SELECT manifest_row_index AS row_index, frame_id, stream_name, day, timestamp_str, time_offset_sec::double AS time_offset_sec, hour FROM vec JOIN fr USING (frame_id)"),
-    "index_checks": _with("vec,fr", "SELECT DISTINCT frame_id, 'missing' AS problem FROM vec ANTI JOIN fr USING (frame_id) UNION ALL SELECT frame_id, 'twice' FROM vec GROUP BY 1 HAVING count(*) > 1"),
-    "pending_shards": _with("fr", "SELECT DISTINCT stream_name || '__' || day AS shard FROM fr EXCEPT SELECT regexp_extract(frame_id, '^(.+?__day[0-9]+)__', 1) FROM augmented_captions"),
+    "index_checks": _with("vec,fr", """SELECT DISTINCT frame_id, 'missing' AS problem FROM (SELECT frame_id FROM vec UNION ALL SELECT 'ghost__day1__08_0001' UNION ALL SELECT 'ghost__day1__08_0002') v ANTI JOIN fr USING (frame_id)
+        UNION ALL SELECT frame_id, 'twice' FROM (SELECT frame_id FROM vec UNION ALL SELECT min(frame_id) FROM vec) GROUP BY 1 HAVING count(*) > 1"""),
+    "pending_shards": _with("fr", "SELECT DISTINCT stream_name || '__' || day || '__' || printf('%02d', hour) AS shard FROM fr EXCEPT SELECT regexp_extract(frame_id, '^(.+?__day[0-9]+__[0-9]+)_', 1) FROM augmented_captions WHERE caption IS NOT NULL"),
     "shard_keys": _with("fr", "SELECT concat_ws('__', day, stream_type, stream_name) AS shard, count(*) AS n FROM fr GROUP BY 1"),
     "frame_times": _with("fr", f"SELECT frame_id, (frame_index - 1) * 5 AS offset_sec, {_hms('(hour * 3600 + (frame_index - 1) * 5)')} AS clock FROM fr"),
     "frame_index_of_marks": "SELECT DISTINCT mark_id, cast(round_even(floor(mark_sec) / 2 / 5, 0) AS integer) + 1 AS frame_index FROM voice_marks",
@@ -234,7 +242,7 @@ ORACLE: dict[str, str] = {
     "parse_frame_ids": f"SELECT DISTINCT ON (manifest_idx, q.frame_id, full_path_resized) manifest_idx, coalesce(q.frame_id = lower(q.frame_id) AND regexp_matches(q.frame_id, '^[^_]+__day[0-9]+__[0-9]{{2}}_[0-9]{{4}}$'), false) AS was_valid, {_CANON} AS frame_id FROM qaff_classified q",
     "parse_hms": _with("fr", "SELECT frame_id, cast(split_part(timestamp_str, ':', 1) AS double) * 3600 + cast(split_part(timestamp_str, ':', 2) AS double) * 60 + cast(split_part(timestamp_str, ':', 3) AS double) AS sec FROM fr"),
     "caption_filter": _with("cap", f"SELECT frame_id, CASE WHEN {_WORDS.format('caption')} < 5 THEN NULL WHEN length(trim(coalesce(ocr_text, ''))) >= 2 THEN caption || ' ' || trim(ocr_text) ELSE caption END AS caption FROM cap"),
-    "caption_filter_check": "SELECT frame_id FROM augmented_captions WHERE false",
+    "caption_filter_check": _with("cap", f"SELECT 'before' AS stage, frame_id FROM cap WHERE caption IS NOT NULL AND {_WORDS.format('caption')} < 5"),
     "ocr_gate": _with("gated", "SELECT * FROM gated"),
     "strip_ocr_suffix": _with("cap", f"SELECT frame_id, {_STRIP} AS caption FROM cap"),
     "decimate": _with("ti,vec", """SELECT manifest_idx, frame_id, tier FROM (
@@ -252,7 +260,7 @@ ORACLE: dict[str, str] = {
     "image_path": _with("fr", "SELECT frame_id, printf('footage_768/%s/%s/%s/%02d_%04d.webp', day, CASE WHEN stream_type = 'fixed' THEN 'fixed' ELSE 'members' END, stream_name, hour, frame_index) AS path FROM fr"),
     "join_left_default": _with("fr,cap", "SELECT frame_id, stream_name, coalesce(nullif(caption, ''), 'none') AS caption FROM fr LEFT JOIN cap USING (frame_id)"),
     "join_full_outer_scores": _with("mg", "SELECT query_id, frame_id, round(bm25, 6) AS bm25, round(visual, 6) AS visual, round(transcript, 6) AS transcript, round(caption, 6) AS caption FROM mg"),
-    "join_inner_strict": _with("cap,fr", "SELECT frame_id, manifest_row_index, stream_name FROM cap JOIN fr USING (frame_id)"),
+    "join_inner_strict": _with("cap,fr", "SELECT cap.frame_id, manifest_row_index, fr.stream_name, CASE WHEN fr.frame_id IS NULL THEN 'no partner' END AS problem FROM (SELECT frame_id, manifest_row_index FROM cap UNION ALL SELECT 'ghost__day1__08_0001', -1) cap LEFT JOIN fr ON fr.frame_id = cap.frame_id"),
     "join_semi_pool": _with("cap,b", "SELECT frame_id, caption FROM cap WHERE frame_id IN (SELECT frame_id FROM b)"),
     "join_anti_pending": _with("ti,cap", "SELECT manifest_idx, frame_id, tier FROM ti WHERE frame_id IS NOT NULL AND frame_id NOT IN (SELECT frame_id FROM cap)"),
     "interval_overlap": _with("ti,tr", """SELECT frame_id, CASE WHEN n_chunks = 0 THEN 'MISSING' WHEN hit THEN 'CONFIRMED' ELSE 'UNCONFIRMED' END AS status FROM (
@@ -263,7 +271,9 @@ ORACLE: dict[str, str] = {
     "concat_text_by_frame": _with("gtext", "SELECT * FROM gtext"),
     "max_score_per_frame": "SELECT manifest_idx, max(relevance_score) AS score FROM qaff_classified WHERE relevance_score IS NOT NULL GROUP BY 1",
     "max_normalise": _with("ev", "SELECT query_id, frame_id, round(CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END, 6) AS score FROM ev"),
-    "tier_stats": _with("ti", "SELECT count(*) AS total, count(*) FILTER (tier = 'hot') AS hot_count, count(*) FILTER (tier = 'warm') AS warm_count, count(*) FILTER (tier = 'cold') AS cold_count, count(*) FILTER (tier <> 'cold') AS upload_frames, round(count(*) FILTER (tier = 'hot') / count(*), 6) AS hot_share FROM ti"),
+    "tier_stats": _with("ti", """SELECT count(*) AS total, count(*) FILTER (tier = 'hot') AS hot_count, count(*) FILTER (tier = 'warm') AS warm_count, count(*) FILTER (tier = 'cold') AS cold_count,
+        round(count(*) FILTER (tier = 'hot') / count(*) * 100, 2) AS hot_pct, round(count(*) FILTER (tier = 'warm') / count(*) * 100, 2) AS warm_pct, round(count(*) FILTER (tier = 'cold') / count(*) * 100, 2) AS cold_pct,
+        count(*) FILTER (tier <> 'cold') AS upload_frames, round(count(*) FILTER (tier <> 'cold') * 45 / 1024 / 1024, 2) AS upload_gb FROM ti"""),
     "hot_by_query": _with("ti", "SELECT best_query_id, count(*) AS hot_count FROM ti WHERE tier = 'hot' GROUP BY 1"),
     "stream_means": _with("ti", """SELECT stream_name, mean_score, 'highest' AS side, cast(hi AS integer) AS place FROM (SELECT *, row_number() OVER (ORDER BY mean_score DESC, stream_name) AS hi, row_number() OVER (ORDER BY mean_score, stream_name DESC) AS lo FROM (SELECT stream_name, round(avg(relevance_score), 5) AS mean_score FROM ti GROUP BY 1)) WHERE hi <= 5
         UNION ALL SELECT stream_name, mean_score, 'lowest', cast(lo AS integer) FROM (SELECT *, row_number() OVER (ORDER BY mean_score, stream_name DESC) AS lo FROM (SELECT stream_name, round(avg(relevance_score), 5) AS mean_score FROM ti GROUP BY 1)) WHERE lo <= 5"""),
@@ -289,7 +299,8 @@ ORACLE: dict[str, str] = {
     "topk_overfetch_dedup": _with("dt", _OUT + "dt"),
     "topk_exact_dedup": _with("dtx", _OUT + "dtx"),
     "multi_key_sort": _with("b,q,cap,fr", "") + "," + _LOGIT.format("b") + " SELECT query_id, frame_id, round(score, 6) AS score, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, logit DESC, fusion DESC, frame_id) AS integer) AS rank FROM hy",
-    "top10_assert": _with("b,fr", "SELECT query_id, count(*) AS n FROM fin GROUP BY 1 HAVING count(*) <> 10", _dedup("b", extra=_FINISH)),
+    "top10_assert": _with("b,fr", """SELECT query_id || '|B' AS query_id, count(*) AS n FROM fin GROUP BY query_id HAVING count(*) <> 10
+        UNION ALL SELECT query_id || '|cascade', n FROM (SELECT query_id, least(15, CASE WHEN count(*) FILTER (score >= 0.99999) > 0 THEN count(*) FILTER (score >= 0.99999) WHEN count(*) FILTER (score >= 0.9) > 0 THEN count(*) FILTER (score >= 0.9) ELSE least(3, count(*)) END) AS n FROM b GROUP BY 1) WHERE n <> 10""", _dedup("b", extra=_FINISH)),
     "threshold_cascade": _with("b", f"""SELECT query_id, rank, frame_id, round(score, 6) AS score, mode FROM (SELECT *, {_RANK}, CASE WHEN n1 > 0 THEN 'primary' WHEN n2 > 0 THEN 'fallback' ELSE 'best' END AS mode FROM (
         SELECT *, count(*) FILTER (score >= 0.99999) OVER (PARTITION BY query_id) AS n1, count(*) FILTER (score >= 0.9) OVER (PARTITION BY query_id) AS n2 FROM b)) WHERE rank <= 15 AND CASE mode WHEN 'primary' THEN score >= 0.99999 WHEN 'fallback' THEN score >= 0.9 ELSE rank <= 3 END"""),
     "union_keys": _with("cap,vec,fr", "SELECT frame_id FROM cap UNION SELECT frame_id FROM vec UNION SELECT frame_id FROM fr"),
@@ -305,19 +316,34 @@ ORACLE: dict[str, str] = {
     "bm25_documents": _with("bmdoc", f"SELECT * FROM (SELECT query_id, doc_id, {_SIX}, {_RANK.replace('frame_id', 'doc_id')} FROM bmdoc) WHERE rank <= 50"),
     "bm25_combined": _with("ab", "SELECT query_id, frame_id, round(score, 6) AS score FROM ab"),
     "approach_a": _with("a", _OUT + "a"),
-    "l2_normalise": _with("vec", "SELECT manifest_row_index, round(list_sum(vec) / sqrt(list_dot_product(vec, vec)), 6) AS total, round(list_max(vec) / sqrt(list_dot_product(vec, vec)), 6) AS top FROM vec"),
+    "l2_normalise": _with("vec", "SELECT manifest_row_index, unnest(range(0, len(vec)))::integer AS pos, round(unnest(vec) / n, 6) AS value FROM (SELECT *, sqrt(list_dot_product(vec, vec)) AS n FROM vec)"),
     "cosine": _with("vec", f"SELECT x.manifest_row_index, round({_COS.format('x.vec', 'y.vec')}, 6) AS cosine FROM vec x JOIN vec y ON y.manifest_row_index = x.manifest_row_index + 1"),
     "unit_norm_check": _with("vec", "SELECT 'embeddings' AS name, count(*) FILTER (abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) >= 1e-4) AS n FROM embeddings UNION ALL SELECT 'siglip2_index', count(*) FILTER (abs(sqrt(list_dot_product(vec, vec)) - 1) >= 1e-4) FROM vec"),
     "approach_b": _with("b", _OUT + "b"),
     "dense_captions": _with("dc", _OUT + "dc"),
     "fusion_topk": _with("c", _OUT + "c"),
     "fusion_weights": "SELECT query_id, w_vis, w_text FROM scene_prompts UNION ALL SELECT 'CUSTOM', 0.5, 0.5",
-    "prefusion_gate": _with("a,b,dt,dc,ev", """SELECT query_id, signal, count(*) AS n, round(max(score), 6) AS top, count(*) FILTER (score IS NULL) AS n_null, count(*) FILTER (score < -1e-6 OR score > 1 + 1e-6) AS n_out_of_range, count(*) FILTER (score < -1e-6 OR score > 1 + 1e-6) = 0 AND max(score) > 0 AS ok
-        FROM (SELECT query_id, 'bm25' AS signal, score FROM a UNION ALL SELECT query_id, 'visual', score FROM b UNION ALL SELECT query_id, 'transcript', score FROM dt UNION ALL SELECT query_id, 'caption', score FROM dc UNION ALL SELECT query_id, 'broken', score * 10 FROM ev) GROUP BY 1, 2"""),
+    "prefusion_gate": _with("a,b,dt,dc,ev", """SELECT query_id, signal, count(*) AS n, round(max(score) FILTER (isfinite(score)), 6) AS top, count(*) FILTER (score IS NULL) AS n_null, count(*) FILTER (NOT isfinite(score)) AS n_not_finite,
+        count(*) FILTER (isfinite(score) AND (score < -1e-6 OR score > 1 + 1e-6)) AS n_out_of_range, count(*) FILTER (score IS NULL OR NOT isfinite(score) OR score < -1e-6 OR score > 1 + 1e-6) = 0 AND max(score) > 0 AS ok
+        FROM (SELECT query_id, 'bm25' AS signal, score FROM a UNION ALL SELECT query_id, 'visual', score FROM b UNION ALL SELECT query_id, 'transcript', score FROM dt UNION ALL SELECT query_id, 'caption', score FROM dc UNION ALL SELECT query_id, 'broken', score * 10 FROM ev
+        UNION ALL SELECT query_id, 'odd', CASE WHEN n = 1 THEN NULL WHEN n <= 3 THEN 'nan'::double WHEN n = 4 THEN 'inf'::double ELSE score END FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS n FROM b)) GROUP BY 1, 2"""),
     "rerank_hybrid": _with("c,q,cap,fr", f"SELECT query_id, frame_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} FROM dd) WHERE rank <= 10", _LOGIT.format("c") + "," + _dedup("hy")),
     "approach_d": _with("c,q,cap,fr", f"SELECT query_id, frame_id, round({_SQUASH}, 6) AS score, rank FROM (SELECT *, {_RANK} FROM dd QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) <= 10)", _LOGIT.format("c") + "," + _dedup("hy")),
     "approach_d_as_shipped": _with("b,c,fr", f"SELECT query_id, frame_id, round({_SQUASH}, 6) AS score, rank FROM (SELECT *, {_RANK} FROM dd QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) <= 10)", "mx AS (SELECT * FROM b WHERE query_id = 'Q3' UNION ALL SELECT * FROM c WHERE query_id <> 'Q3')," + _dedup("mx")),
     "rocchio": _with("b,qv,vec", "") + "," + _rocchio() + f" SELECT query_id, frame_id, round(score, 6) AS score, rank FROM (SELECT *, {_RANK} FROM rs) WHERE rank <= 50",
     "qaff_score": _with("vs", "SELECT frame_id, cast(arg_max(substr(query_id, 2)::integer - 1, (score, -substr(query_id, 2)::integer)) AS integer) AS best_query_id, round(max(score), 4) AS relevance_score, CASE WHEN round(max(score), 4) >= 0.4 THEN 'hot' WHEN round(max(score), 4) >= 0.3 THEN 'warm' ELSE 'cold' END AS tier FROM vs GROUP BY 1"),
     "metadata_proximity": _with("a,cap,q", "SELECT a.query_id, bool_or(coalesce(len(list_filter(synonyms, lambda s: contains(lower(coalesce(caption, '')), lower(s)))) > 0, false)) AS near FROM a LEFT JOIN cap USING (frame_id) JOIN q USING (query_id) GROUP BY 1"),
+    "manifest_sink": _with("fr", "SELECT kind, frame_id, stream_name, day, hour, frame_index, time_offset_sec, stream_type, timestamp_str, full_path FROM fr, (VALUES ('parquet'), ('jsonl'), ('csv')) k(kind)"),
+    "scan_transcripts": _with("tr", """SELECT day, stream_name, printf('%02d', hour) AS hour, cast(row_number() OVER (PARTITION BY stream_name, day, hour ORDER BY time_offset_sec, row_index) - 1 AS integer) AS chunk_no, time_offset_sec::double AS start_sec, time_offset_sec + 5.0::double AS end_sec, raw_text AS text
+        FROM tr WHERE time_offset_sec IS NOT NULL AND stream_name IS NOT NULL AND day IS NOT NULL AND hour IS NOT NULL"""),
+    "scan_jsonl_strict": _with("cap", """SELECT shard, line_no, reason FROM (SELECT regexp_extract(frame_id, '^(.+?)__', 1) AS shard, row_number() OVER (PARTITION BY regexp_extract(frame_id, '^(.+?)__', 1) ORDER BY manifest_row_index, frame_id) AS line_no,
+        CASE WHEN caption IS NULL THEN 'blank line' WHEN trim(caption) = '' THEN 'not an object' WHEN trim(coalesce(ocr_text, '')) = '' THEN 'bad JSON' END AS reason FROM cap) WHERE reason IS NOT NULL"""),
+    "scan_csv_header": _with("fr", "SELECT frame_id, hour FROM fr"),
+    "scan_first_existing": _with("fr", "SELECT stream_name, count(*) AS n, 'jsonl' AS kind FROM fr GROUP BY 1"),
+    "results_json": _with("b,fr", """SELECT query_id, '{"B":[' || string_agg('{"rank":' || rank || ',"frame_id":"' || frame_id || '","score":' || round(score, 4)::varchar || ',"stream_name":"' || stream_name || '","multi_angle":' || multi_angle::varchar || '}', ',' ORDER BY rank) || ']}' AS json FROM fin GROUP BY 1""", _dedup("b", extra=_FINISH)),
+    "pool_candidates": _with("a,b,fr", """SELECT split_part(query_id, '|', 1) AS query_id, frame_id, arg_max(stream_name, (score, split_part(query_id, '|', 2))) AS stream_name, cast(round(cast(max(score) AS decimal(18, 9)), 6) AS double) AS best_score, string_agg(DISTINCT split_part(query_id, '|', 2), ',' ORDER BY split_part(query_id, '|', 2)) AS appeared_in
+        FROM fin GROUP BY 1, 2""", "ls AS (SELECT query_id || '|A' AS query_id, frame_id, score FROM a UNION ALL SELECT query_id || '|B', frame_id, score FROM b)," + _dedup("ls", extra=_FINISH)),
+    "run_evaluation": _with("a,b,c,q,cap,fr", "SELECT split_part(query_id, '|', 1) AS query_id, split_part(query_id, '|', 2) AS approach, rank, frame_id, cast(round(cast(score AS decimal(18, 9)), 4) AS double) AS score, stream_name, multi_angle FROM fin", _LOGIT.format("c") + "," + _dedup("hy", tag="h") + f""",
+ld AS (SELECT query_id, frame_id, {_SQUASH} AS score FROM (SELECT * FROM ddh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) <= 10)),
+ls AS (SELECT query_id || '|A' AS query_id, frame_id, score FROM a UNION ALL SELECT query_id || '|B', frame_id, score FROM b UNION ALL SELECT query_id || '|C', frame_id, score FROM c UNION ALL SELECT query_id || '|D', frame_id, score FROM ld),""" + _dedup("ls", extra=_FINISH)),
 }

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,3 +31,31 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that all executors share, below the one the cluster names in spark.checkpoint.dir.
+
+    Only where none is named and the master is local (tests, one machine) it
+    lies in a temporary folder that goes with the process; elsewhere a missing
+    setting is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if "root" not in _LOCAL:
+            _LOCAL["root"] = tempfile.mkdtemp(prefix="frameloom-")
+            atexit.register(shutil.rmtree, _LOCAL["root"], ignore_errors=True)
+        root = "file://" + _LOCAL["root"]
+    return f"{root.rstrip('/')}/{name}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there, so that it is computed once and its plan ends here."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoints"))
+    return df.checkpoint(eager=True)

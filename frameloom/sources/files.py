@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import hms, offset_of
+from .storage import exists
 
 TRANSCRIPT_SCHEMA = T.StructType([T.StructField("chunks", T.ArrayType(T.StructType([T.StructField("timestamp", T.ArrayType(T.DoubleType())), T.StructField("text", T.StringType())])))])
 
@@ -36,23 +33,28 @@ def scan_frames(spark: SparkSession, root: str, pattern: str = "*.webp") -> Data
 
 def write_manifest(frames: DataFrame, root: str) -> dict[str, str]:
     """Write a manifest as Parquet, JSONL and CSV with a header; returns the places."""
-    places = {k: os.path.join(root, k) for k in ("parquet", "jsonl", "csv")}
+    places = {k: f"{root}/{k}" for k in ("parquet", "jsonl", "csv")}
     frames.write.mode("overwrite").parquet(places["parquet"])
     frames.write.mode("overwrite").json(places["jsonl"])
-    frames.write.mode("overwrite").option("header", True).csv(places["csv"])
+    frames.write.mode("overwrite").option("header", True).option("escape", '"').csv(places["csv"])
     return places
 
 
-def scan_transcripts(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks of ``.../dayN/<person>/HH.json`` files: ``day, stream_name, hour, chunk_no, start_sec, end_sec, text``.
+#: Where a transcript file's path names day, person and hour, as three groups.
+TRANSCRIPT_PATH = r"(?i)(day\d+)/([^/]+)/(\d{1,2})\.json$"
+
 
-    A malformed file has no chunks and drops out. The path names day, person and hour.
+def scan_transcripts(spark: SparkSession, root: str, pattern: str = "*.json", path: str = TRANSCRIPT_PATH) -> DataFrame:
+    """Chunks of transcript files, one document each: ``day, stream_name, hour, chunk_no, start_sec, end_sec, text, n_bounds``.
+
+    A malformed file has no chunks and drops out. The path names day, person
+    and hour: ``path`` is a pattern with these three groups, by default that of
+    ``.../dayN/<person>/HH.json``.
     """
-    raw = spark.read.schema(TRANSCRIPT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    raw = spark.read.schema(TRANSCRIPT_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(root)
     p = F.col("_metadata.file_path")
-    rx = r"(?i)(day\d+)/([^/]+)/(\d{1,2})\.json$"
     return raw.select(
-        F.lower(F.regexp_extract(p, rx, 1)).alias("day"), F.lower(F.regexp_extract(p, rx, 2)).alias("stream_name"), F.lpad(F.regexp_extract(p, rx, 3), 2, "0").alias("hour"), F.posexplode("chunks").alias("chunk_no", "chunk"),
+        F.lower(F.regexp_extract(p, path, 1)).alias("day"), F.lower(F.regexp_extract(p, path, 2)).alias("stream_name"), F.lpad(F.regexp_extract(p, path, 3), 2, "0").alias("hour"), F.posexplode("chunks").alias("chunk_no", "chunk"),
     ).select("day", "stream_name", "hour", "chunk_no", F.get("chunk.timestamp", F.lit(0)).alias("start_sec"), F.get("chunk.timestamp", F.lit(1)).alias("end_sec"), F.col("chunk.text").alias("text"), F.size("chunk.timestamp").alias("n_bounds"))
 
 
@@ -61,31 +63,46 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
-def jsonl_violations(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, reason`` of blank lines and lines that are no JSON object.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, line`` of text files of any size.
 
-    Lines are numbered within a file, which the text source reads whole per file here.
+    Files are split and read line by line; a line's place in its part comes
+    from the order in which the part is read, and the parts' numbers of lines
+    are added up over the parts of a file, one row for each. ``line_no`` starts
+    at 1.
     """
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    lines = t.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("i", "line"))
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    # The reading task numbers its rows in order; a part of a file lies in one task.
+    parts = t.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return t.join(parts.select("file", "block", "first", "before"), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), F.col("value").alias("line"))
+
+
+def jsonl_violations(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, reason`` of blank lines and lines that are no JSON object."""
     v = F.try_parse_json(F.col("line"))
     reason = F.when(F.trim("line") == "", "blank line").when(v.isNull(), "bad JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
-    return lines.select("file", (F.col("i") + 1).alias("line_no"), reason.alias("reason")).where("reason is not null")
+    return numbered_lines(spark, path).select("file", "line_no", reason.alias("reason")).where("reason is not null")
 
 
-def scan_csv(spark: SparkSession, path: str, required: list[str], schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header; missing required columns are an error, and only those asked for are read."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def scan_csv(spark: SparkSession, path: str, required: list[str], schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; missing required columns are an error, and only those asked for are read.
+
+    Files are split among tasks; with ``multi_line`` quoted values may hold
+    line breaks, and each file is read by one task.
+    """
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     df = (r.schema(schema) if schema else r).csv(path)
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"missing columns {missing} in {path}")
     return df.select(*required)
 
 
-def first_existing(candidates: list[str]) -> str:
-    """The first of several paths that exists (resolved on the driver)."""
+def first_existing(spark: SparkSession, candidates: list[str]) -> str:
+    """The first of several paths that exists, on whatever file system."""
     for p in candidates:
-        if os.path.exists(p):
+        if exists(spark, p):
             return p
     raise FileNotFoundError(f"none of {candidates} exists")
 
@@ -101,13 +118,6 @@ def embedding_violations(vectors: DataFrame, vec: str, dim: int, unit: bool = Fa
     return vectors.withColumn("reason", reason).where("reason is not null")
 
 
-def read_npy(path: str, first: int, count: int) -> Iterator:  # pragma: no cover - thin helper
-    """Rows of a memory-mapped .npy matrix, for conversion into a vector table."""
-    import numpy as np
-
-    yield from np.load(path, mmap_mode="r")[first : first + count]
-
-
 def results_json(ranked: DataFrame) -> DataFrame:
     """One row for each query: ``query_id, json`` with its ranked lists by approach."""
     item = F.struct("rank", "frame_id", "score", "stream_name", "multi_angle")
@@ -158,12 +168,6 @@ def write_resumable(df: DataFrame, root: str, shard: str = "shard") -> None:
 
 def done_shards(spark: SparkSession, root: str, shard: str = "shard") -> DataFrame:
     """The shards already written (from the partition folders; none if the root doesn't exist)."""
-    if not os.path.exists(root):
+    if not exists(spark, root):
         return spark.createDataFrame([], "shard string")
     return spark.read.parquet(root).select(F.col(shard).cast("string").alias("shard")).distinct()
-
-
-def dump_json(rows: list[dict], path: str) -> None:
-    """A small report as JSON on the driver."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=2)

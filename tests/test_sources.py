@@ -22,9 +22,9 @@ def test_manifest_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a,\"b\"\n", 1), ("é", 2)], "s string, n int")
     places = files.write_manifest(df, str(tmp_path))
     assert spark.read.parquet(places["parquet"]).count() == spark.read.json(places["jsonl"]).count() == 2
-    assert files.first_existing([str(tmp_path / "no"), places["csv"]]) == places["csv"]
+    assert files.first_existing(spark, [str(tmp_path / "no"), places["csv"]]) == places["csv"]
     with pytest.raises(FileNotFoundError):
-        files.first_existing([str(tmp_path / "no")])
+        files.first_existing(spark, [str(tmp_path / "no")])
 
 
 def test_transcripts(spark, tmp_path):
@@ -48,7 +48,7 @@ def test_jsonl(spark, tmp_path):
 def test_csv(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text('a,b,c\n1,"x\ny ""q""",3\n')
-    assert tuple(files.scan_csv(spark, str(p), ["b"]).first()) == ('x\ny "q"',)
+    assert tuple(files.scan_csv(spark, str(p), ["b"], multi_line=True).first()) == ('x\ny "q"',)
     with pytest.raises(ValueError, match="missing"):
         files.scan_csv(spark, str(p), ["z"])
 
