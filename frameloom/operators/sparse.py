@@ -30,16 +30,16 @@ def term_weights(queries: DataFrame, terms: DataFrame, fields: DataFrame, split:
     return w.select("query_id", "field", "term", (F.log(F.col("n_docs") / (F.col("df") + 1)) + 1).alias("idf"), "avg_len")
 
 
-def bm25_fields(postings: DataFrame, weights: DataFrame, fields: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, frame_id, <field>...``: BM25 (9 places) of every document with a query term, a column for each field (null without a hit).
+def bm25_fields(postings: DataFrame, weights: DataFrame, fields: list[str], k1: float = K1, b: float = B, key: str = "frame_id") -> DataFrame:
+    """``query_id, <key>, <field>...``: BM25 (9 places) of every document with a query term, a column for each field (null without a hit).
 
-    ``postings(field, term, frame_id, tf, len)`` is scanned once for all fields
+    ``postings(field, term, <key>, tf, len)`` is scanned once for all fields
     and queries; the weights of a checked query set's terms are the small side.
     One exchange brings a document's parts together.
     """
     s = postings.where(F.col("field").isin(fields)).join(F.broadcast(weights), ["field", "term"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return s.groupBy("query_id", "frame_id").agg(*[F.round(F.sum(F.when(F.col("field") == f, part)), 9).alias(f) for f in fields])
+    return s.groupBy("query_id", key).agg(*[F.round(F.sum(F.when(F.col("field") == f, part)), 9).alias(f) for f in fields])
 
 
 def field_stats(docs: DataFrame, text: str) -> DataFrame:

@@ -40,6 +40,13 @@ def bm25_caption(a: Archive) -> DataFrame:
     return bm25(a, fields=("caption",)).withColumnRenamed("caption", "score")
 
 
+def bm25_documents(a: Archive) -> DataFrame:
+    """``query_id, doc_id, score`` over the documents table, words of any script."""
+    i = a.index
+    w = sparse.term_weights(a.queries(), i.read("document_terms"), i.read("document_fields"), TOKENIZERS["words" if a.analyzer == "plain" else a.analyzer])
+    return sparse.bm25_fields(i.read("document_postings"), w, ["document"], key="doc_id").withColumnRenamed("document", "score")
+
+
 def _both_fields() -> Column:
     return F.round(TRANSCRIPT_SHARE * F.coalesce("transcript", F.lit(0.0)) + CAPTION_SHARE * F.coalesce("caption", F.lit(0.0)), 9)
 

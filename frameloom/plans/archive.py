@@ -54,7 +54,7 @@ class Archive:
     def queries(self) -> DataFrame:
         """``query_id, raw_query, query_text`` (expanded), ``synonyms, location_hint, qtype, w_vis, w_text``.
 
-        A stated set: its number is checked and it is read once, so that the plans hold it as it is.
+        A stated set: its number is checked and it is read once, so that the plans hold it as it is and joins broadcast it.
         """
         if self._queries is None:
             p = self.raw("scene_prompts")
@@ -65,7 +65,7 @@ class Archive:
             rows = q.limit(MAX_QUERY_BLOCK + 1).collect()
             if len(rows) > MAX_QUERY_BLOCK:
                 raise ValueError(f"more than {MAX_QUERY_BLOCK} queries; take them in blocks")
-            self._queries = self.spark.createDataFrame(rows, q.schema)
+            self._queries = F.broadcast(self.spark.createDataFrame(rows, q.schema))
         return self._queries
 
     def query_vectors(self) -> DataFrame:

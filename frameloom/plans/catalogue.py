@@ -656,7 +656,7 @@ def bm25_topk(a: Archive) -> DataFrame:
 @query
 def bm25_documents(a: Archive) -> DataFrame:
     """T5: BM25 over the long documents, words of any script, fifty best."""
-    return _six(dense.rank_topk(sparse.bm25(a.raw("documents"), "text", a.queries(), "doc_id", split=ft.words), 50, "doc_id"))
+    return _six(dense.rank_topk(ap.bm25_documents(a), 50, "doc_id"))
 
 
 @query

@@ -8,6 +8,7 @@ Parts below the index's folder, each a Parquet table:
 - ``terms``: ``field, term, df``; ``fields``: ``field, n_docs, avg_len``
 - ``vectors``: ``manifest_row_index, frame_id, vec, norm`` of the usable vectors; ``query_vectors``: ``query_id, vec``
 - ``text_vectors``: ``field, row_index, frame_id, vec, norm`` by a text encoder
+- ``document_postings``, ``document_terms``, ``document_fields``: the same for the documents table (key ``doc_id``), words of any script
 - ``counts/<part>``: rows of every other part, as written
 """
 
@@ -18,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import TOKENIZERS
 from ..functions.vectors import norm
@@ -26,10 +28,13 @@ from ..session import shared_folder, table
 from ..sources import storage
 
 #: Goes up with every change of what the parts hold, so that an older index isn't read.
-FORMAT = 1
-TABLES = ("frames", "augmented_captions", "transcript_aligned", "siglip2_index")
+FORMAT = 2
+TABLES = ("frames", "augmented_captions", "transcript_aligned", "siglip2_index", "documents")
 FIELDS = {"transcript": "transcript_text", "caption": "caption_text"}
-PARTS = ("frames", "captions", "transcripts", "docs", "postings", "terms", "fields", "vectors", "query_vectors", "text_vectors")
+PARTS = ("frames", "captions", "transcripts", "docs", "postings", "terms", "fields", "vectors", "query_vectors", "text_vectors", "document_postings", "document_terms", "document_fields")
+
+#: Columns of the parts that this process has read, so that they are read from the files once.
+_SCHEMAS: dict[str, StructType] = {}
 
 
 class Index:
@@ -50,7 +55,10 @@ class Index:
     def read(self, part: str) -> DataFrame:
         """A part of the index; one that isn't written whole yet is written first, with what it is made of."""
         self.ensure(part)
-        return self.spark.read.parquet(self.path(part))
+        path = self.path(part)
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def ensure(self, part: str) -> int | None:
         """Write a part, committed as a whole, unless it is there; the number of rows written."""
@@ -81,6 +89,8 @@ class Index:
         return written.withColumnRenamed("n", "n_written").join(read, "part").withColumn("ok", F.col("n_written") == F.col("n_read"))
 
     def drop(self) -> None:
+        for part in PARTS:
+            _SCHEMAS.pop(self.path(part), None)
         storage.delete(self.spark, self.root)
 
     # --- the parts ---
@@ -111,10 +121,11 @@ class Index:
         return self.read("postings").groupBy("field", "term").agg(F.count("*").alias("df"))
 
     def _fields(self) -> DataFrame:
-        split = TOKENIZERS[self.analyzer]
-        d = self.read("docs")
-        one = d.agg(F.count("*").alias("n"), *[F.avg(F.size(split(F.col(c)))).alias(f) for f, c in FIELDS.items()])
-        return one.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("avg_len")) for f in FIELDS])).alias("x")).select("x.field", F.col("n").alias("n_docs"), "x.avg_len")
+        # Lengths stand in the postings; a document without words has none there, but counts.
+        words = self.read("postings").groupBy("field").agg(F.sum("tf").alias("words"))
+        names = self.spark.createDataFrame([(f,) for f in FIELDS], "field string")
+        n = self.read("docs").agg(F.count("*").alias("n_docs"))
+        return names.join(words, "field", "left").crossJoin(n).select("field", "n_docs", (F.coalesce("words", F.lit(0)) / F.col("n_docs")).alias("avg_len"))
 
     def _vectors(self) -> DataFrame:
         return ingest.archive_vectors(self._raw("siglip2_index")).withColumn("norm", norm(F.col("vec")))
@@ -132,3 +143,19 @@ class Index:
         v = dense.encode(texts, "text", self.encoder).drop("text").withColumn("norm", norm(F.col("vec")))
         # A text without words has a zero vector, which is like nothing.
         return v.where("norm > 0")
+
+    def _document_split(self):
+        return TOKENIZERS["words" if self.analyzer == "plain" else self.analyzer]
+
+    def _document_postings(self) -> DataFrame:
+        p = sparse.postings_with_length(self._raw("documents"), "text", self._document_split(), "doc_id")
+        return p.select(F.lit("document").alias("field"), "*").hint("rebalance", "term").sortWithinPartitions("term")
+
+    def _document_terms(self) -> DataFrame:
+        return self.read("document_postings").groupBy("field", "term").agg(F.count("*").alias("df"))
+
+    def _document_fields(self) -> DataFrame:
+        d = self._raw("documents")
+        # Lengths stand in the postings; a document without words has none there, but counts.
+        words = self.read("document_postings").agg(F.sum("tf").alias("words"))
+        return d.agg(F.count("*").alias("n_docs")).crossJoin(words).select(F.lit("document").alias("field"), "n_docs", (F.coalesce("words", F.lit(0)) / F.col("n_docs")).alias("avg_len"))

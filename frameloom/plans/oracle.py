@@ -222,6 +222,7 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'postings', (SELECT sum(len(list_distinct({_TOK.format('transcript_text')})) + len(list_distinct({_TOK.format('caption_text')}))) FROM docs)
         UNION ALL SELECT 'terms', (SELECT count(*) FROM (SELECT DISTINCT 1, unnest({_TOK.format('transcript_text')}) FROM docs UNION ALL SELECT DISTINCT 2, unnest({_TOK.format('caption_text')}) FROM docs)) UNION ALL SELECT 'fields', 2
         UNION ALL SELECT 'vectors', (SELECT count(*) FROM vec) UNION ALL SELECT 'query_vectors', (SELECT count(*) FROM qv)
+        UNION ALL SELECT 'document_postings', (SELECT sum(len(list_distinct({_ANY.format('text')}))) FROM documents) UNION ALL SELECT 'document_terms', (SELECT count(*) FROM (SELECT DISTINCT unnest({_ANY.format('text')}) FROM documents)) UNION ALL SELECT 'document_fields', 1
         UNION ALL SELECT 'text_vectors', (SELECT count(DISTINCT k) FROM htr0 JOIN tr ON tr.row_index = k WHERE tr.frame_id IS NOT NULL) + (SELECT count(DISTINCT k) FROM hcap0))""".replace("htr0", f"({_CTE['htr0'][1]})").replace("hcap0", f"({_CTE['hcap0'][1]})")),
     "index_verify": _with("docs", f"""SELECT query_id, frame_id, {_SIX}, rank, n_docs FROM (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS integer) AS rank FROM (
         SELECT term AS query_id, frame_id, n_docs, round((ln(n_docs / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / avg_len)), 9) AS score FROM (
