@@ -52,14 +52,20 @@ def archive_frames(frames: DataFrame) -> DataFrame:
     return f.withColumn("timestamp_str", F.coalesce("ts", hms(F.col("hour") * 3600 + F.col("time_offset_sec")))).drop("ts")
 
 
+def chunk_place() -> dict[str, Column]:
+    """``stream_name, day, hour, time_offset_sec, frame_index`` of a transcript row, from whichever of its columns name them."""
+    f = parse_frame(F.col("frame_id"))
+    off = F.coalesce(F.col("time_offset_sec"), offset_of(F.col("frame_index")), offset_of(f["frame_index"])).cast("int")
+    return {
+        "stream_name": F.coalesce(clean_stream(F.col("stream_name")), f["stream"]), "day": F.coalesce(clean_day(F.col("day")), f["day"]), "hour": F.coalesce(clean_hour(F.col("hour")), f["hour"]),
+        "time_offset_sec": off, "frame_index": F.coalesce(F.col("frame_index"), f["frame_index"], frame_index_from_sec(off)),
+    }
+
+
 def archive_transcripts(transcripts: DataFrame) -> DataFrame:
     """One row for each chunk: ``row_index, frame_id, stream_name, day, hour, time_offset_sec, frame_index, raw_text, transcript_text`` in one spelling."""
-    f = parse_frame(F.col("frame_id"))
-    off = F.coalesce(F.col("time_offset_sec"), offset_of(F.col("frame_index")), offset_of(f["frame_index"]))
-    stream, day, hour = F.coalesce(clean_stream(F.col("stream_name")), f["stream"]), F.coalesce(clean_day(F.col("day")), f["day"]), F.coalesce(clean_hour(F.col("hour")), f["hour"])
-    idx = F.coalesce(F.col("frame_index"), f["frame_index"], frame_index_from_sec(off))
-    t = transcripts.dropDuplicates(["row_index"])
-    return t.select("row_index", frame_id_of(stream, day, hour, idx).alias("frame_id"), stream.alias("stream_name"), day.alias("day"), hour.alias("hour"), off.cast("int").alias("time_offset_sec"), idx.alias("frame_index"), "raw_text", "transcript_text")
+    t = transcripts.dropDuplicates(["row_index"]).select("row_index", *[c.alias(n) for n, c in chunk_place().items()], "raw_text", "transcript_text")
+    return t.select("row_index", frame_id_of(*[F.col(c) for c in ("stream_name", "day", "hour", "frame_index")]).alias("frame_id"), "stream_name", "day", "hour", "time_offset_sec", "frame_index", "raw_text", "transcript_text")
 
 
 def archive_captions(captions: DataFrame) -> DataFrame:
