@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import clean_day, clean_hour, clean_stream, frame_id_of, offset_of, parse_frame
+from ..functions.frames import clean_day, clean_stream, frame_id_of
+from ..operators.ingest import chunk_place
 
 
 class LearnedIndex:
@@ -98,14 +99,9 @@ def nearest_join(left: DataFrame, right: DataFrame, tolerance: float, shard_sec:
 
 def transcript_times(transcripts: DataFrame) -> DataFrame:
     """``entity`` (stream__day), ``t`` (seconds of the day) and ``frame_id`` of each chunk, from whichever columns name them."""
-    f = parse_frame(F.col("frame_id"))
-    stream = F.coalesce(clean_stream(F.col("stream_name")), f["stream"])
-    day = F.coalesce(clean_day(F.col("day")), f["day"])
-    hour = F.coalesce(clean_hour(F.col("hour")), f["hour"])
-    off = F.coalesce(F.col("time_offset_sec"), offset_of(F.col("frame_index")), offset_of(f["frame_index"]))
-    idx = F.coalesce(F.col("frame_index"), f["frame_index"], (F.bround(off / 5) + 1).cast("int"))
+    p = chunk_place()
     return transcripts.select(
-        F.concat_ws("__", stream, day).alias("entity"), (hour * 3600 + off).cast("double").alias("t"), frame_id_of(stream, day, hour, idx).alias("frame_id"),
+        F.concat_ws("__", p["stream_name"], p["day"]).alias("entity"), (p["hour"] * 3600 + p["time_offset_sec"]).cast("double").alias("t"), frame_id_of(p["stream_name"], p["day"], p["hour"], p["frame_index"]).alias("frame_id"),
     ).where("frame_id is not null and t is not null")
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import tokens
 
 CAPACITY = 2_048
@@ -194,10 +195,9 @@ def pack_sizes(sizes: DataFrame, capacity: int = CAPACITY, shard_items: int = SH
     so what is left underfull is a few bins for each ``shard_items`` items of
     the second round. Nothing is collected, and no task holds more than a shard.
     """
-    spark = sizes.sparkSession
-    p = _materialise(spark, pieces_of(sizes, capacity))  # else each reader below would encode the corpus again
+    p = checkpointed(pieces_of(sizes, capacity))  # else each reader below would encode the corpus again
     first = _pack_round(p.where(F.col("n_tokens") < capacity), capacity, shard_items)
-    first = _materialise(spark, first)
+    first = checkpointed(first)
     closed = F.col("fill") >= full_at * capacity
     rest = first.where(~closed).select("doc_id", "piece", "n_tokens")
     groups = max(1, -(-rest.count() // shard_items))
@@ -210,10 +210,3 @@ def pack_sizes(sizes: DataFrame, capacity: int = CAPACITY, shard_items: int = SH
         .unionByName(first.where(closed).select(*cols, name("a").alias("container")))
         .unionByName(second.select(*cols, name("b").alias("container")))
     )
-
-
-def _materialise(spark, df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
-    from ._common import reliable_checkpoint
-
-    return reliable_checkpoint(spark, df)

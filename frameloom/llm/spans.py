@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import reliable_checkpoint
+from ..session import checkpointed
 
 MIN_CHARS = 150
 #: Characters of a token. With windows of MIN_CHARS - K + 1 tokens, two texts with a common run of MIN_CHARS share one.
@@ -283,11 +283,10 @@ def verified_spans(cand: DataFrame, texts: DataFrame, min_chars: int = MIN_CHARS
 
 def shared_stretches(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K, unlike: bool = False) -> tuple[DataFrame, DataFrame]:
     """The stretches of paths of different texts (one document standing for its exact copies), and the copies."""
-    spark = docs.sparkSession
     # Both are read several times and are small beside the tokens they come from.
-    copies = reliable_checkpoint(spark, exact_copies(docs, min_chars))
+    copies = checkpointed(exact_copies(docs, min_chars))
     stretches = paths(repeated_tokens(sampled_kmers(docs, k, min_chars, unlike)), k, min_chars)
-    return reliable_checkpoint(spark, stretches.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")), copies
+    return checkpointed(stretches.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")), copies
 
 
 def window_spans(stretches: DataFrame, texts: DataFrame, min_chars: int = MIN_CHARS, k: int = K) -> DataFrame:
@@ -328,7 +327,7 @@ def window_spans(stretches: DataFrame, texts: DataFrame, min_chars: int = MIN_CH
 
     # The text's few stretches travel to it.
     r = per.join(texts, "doc_id").select("doc_id", "parts", "text").mapInArrow(run, "doc_id long, at int, n int, h1 long, h2 long")
-    r = reliable_checkpoint(stretches.sparkSession, r)
+    r = checkpointed(r)
     many = r.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("lo", "hi")
     return r.join(many, ["h1", "h2", "n"]).select(F.col("doc_id").alias("rep"), F.col("at").alias("s"), (F.col("at") + F.col("n")).alias("e"))
 

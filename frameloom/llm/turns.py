@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import clean_day, clean_hour, clean_stream, offset_of, parse_frame
+from ..operators.ingest import chunk_place
 
 #: Hesitation sounds; a letter in brackets may be repeated at will.
 HESITATIONS = ("u(h)", "u(m)", "uh(m)", "u(h)m", "e(r)", "er(m)", "e(h)", "eh(m)", "h(m)", "m(m)", "ä(h)", "äh(m)", "ä(m)", "a(h)m", "e(u)h", "ö(h)", "öh(m)")
@@ -193,13 +193,9 @@ def chunk_segments(transcripts: DataFrame, speakers: DataFrame, annotation_words
     of unknown offset comes first.
     """
     who = speaker_list(speakers)
-    f = parse_frame(F.col("frame_id"))
+    p = chunk_place()
     t = transcripts.select(
-        F.coalesce(clean_stream(F.col("stream_name")), f["stream"]).alias("stream_name"),
-        F.coalesce(clean_day(F.col("day")), f["day"]).alias("day"),
-        F.coalesce(clean_hour(F.col("hour")), f["hour"]).alias("hour"),
-        F.coalesce(F.col("time_offset_sec"), offset_of(F.col("frame_index")), offset_of(f["frame_index"]), F.lit(-1)).cast("int").alias("off"),
-        F.col("row_index").cast("long").alias("row_index"), F.col("raw_text"),
+        p["stream_name"].alias("stream_name"), p["day"].alias("day"), p["hour"].alias("hour"), F.coalesce(p["time_offset_sec"], F.lit(-1)).alias("off"), F.col("row_index").cast("long").alias("row_index"), F.col("raw_text"),
     ).where("stream_name is not null and day is not null and hour is not null and row_index is not null")
     t = t.dropDuplicates(["row_index"])
 
