@@ -284,7 +284,8 @@ ORACLE: dict[str, str] = {
     "corpus_stats": _with("tr", f"SELECT count(*) AS texts, count(*) FILTER ({_WORDS.format('raw_text')} = 0) AS empty, round(avg({_WORDS.format('raw_text')}), 6) AS mean_words FROM tr"),
     "precision_at_10": _with("b,c,qrels", "") + "," + _PREC.format(_BC) + " SELECT * FROM pr",
     "mean_precision": _with("b,qrels", "") + "," + _PREC.format("(SELECT *, 'B' AS approach FROM b)") + " SELECT approach, round(avg(p_at_k), 3) AS mean_p FROM pr GROUP BY 1",
-    "best_approach_note": _with("b,c,qrels", "") + "," + _PREC.format(_BC) + """, w AS (SELECT query_id, max(p_at_k) OVER (PARTITION BY query_id) AS top, approach, p_at_k FROM pr)
+    "best_approach_note": _with("a,b,c,q,cap,fr,qrels", "", _LOGIT.format("c") + "," + _dedup("hy", tag="h") + f""",
+ld AS (SELECT query_id, frame_id, {_SQUASH} AS score FROM (SELECT * FROM ddh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) <= 10))""") + "," + _PREC.format("(SELECT *, 'A' AS approach FROM a UNION ALL SELECT *, 'B' FROM b UNION ALL SELECT *, 'C' FROM c UNION ALL SELECT *, 'D' FROM ld)") + """, w AS (SELECT query_id, max(p_at_k) OVER (PARTITION BY query_id) AS top, approach, p_at_k FROM pr)
         SELECT query_id, string_agg(approach, '/' ORDER BY approach) AS best, CASE WHEN max(top) = 0 THEN 'all fail' WHEN count(*) = 1 THEN min(approach) || ' dominates' WHEN bool_or(approach = 'D') THEN 'D ties best' ELSE 'mixed' END AS note FROM w WHERE p_at_k = top GROUP BY 1""",
     "overlap_counts": _with("a,c", "SELECT query_id, 'A&C' AS pair, count(*) AS n FROM a JOIN c USING (query_id, frame_id) GROUP BY 1"),
     "most_common": _with("fr", "SELECT stream_name, count(*) AS n FROM fr GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"),

@@ -151,6 +151,11 @@ def write_tsv(rows: DataFrame, root: str) -> None:
     rows.repartition("query_id").sortWithinPartitions("query_id", "rank").write.mode("overwrite").partitionBy("query_id").option("sep", "\t").csv(root)
 
 
+def read_tsv(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of submission files: ``query_id, rank, stream_name, start_time, end_time, score`` (the folder names the query)."""
+    return spark.read.schema("rank int, stream_name string, start_time string, end_time string, score string, query_id string").option("sep", "\t").csv(root).select("query_id", "rank", "stream_name", "start_time", "end_time", "score")
+
+
 def shard_key(*parts: Column) -> Column:
     """Shard name: the known parts joined by ``__``; 'unknown' if none is known."""
     return F.coalesce(F.nullif(F.concat_ws("__", *parts), F.lit("")), F.lit("unknown"))
