@@ -52,7 +52,64 @@ shares AS (
   FROM lists l LEFT JOIN hit h USING (id) GROUP BY l.id, l.text_field, l.row_key, l.w)
 """
 
+#: The parts of a transcript's text: time stamps, what may be a label, bracketed asides, words.
+_STAMP = r"[\[(<]?\b\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?\b[\])>]?(?:\s*-->)?"
+_NUMBER = r"(?:speaker[ _-]?#?|spk[-_ ]?|s)0{0,2}(\d+)"
+_MARKS = r"(?:\*\*|__)?(?:\s*\(\s*(?:speaker|spk|s)[\s_#-]*\d+\s*\))?\s*(?:\*\*|__)?(?:\s*[:：]{1,2}|\s+[-–—]+(?:\s|$))"
+_LABEL = rf"(?:\*\*|__)?(?:{_NUMBER}|(\p{{L}}+)){_MARKS}"
+_ASIDE = r"\[[^\]\n]*\]|<[^>\n]*>|\(+[^)\n]*\)+|\{[^}\n]*\}|\*[^*\n]+\*|♪[^♪\n]*♪"
+_SPOKEN = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*"
+_HESITATION = r"uh+m?|um+|uhm+|erm*|er+|ehm*|eh+|hm+|mm+|ähm*|äh+|äm+|ah+m|eu+h|öhm*|öh+"
+
+
+def _bare(pattern: str) -> str:
+    """The same pattern without groups that capture."""
+    return pattern.replace(r"(\d+)", r"\d+").replace(r"(\p{L}+)", r"\p{L}+")
+
+
+_TURNS = rf"""
+WITH tr AS (
+  SELECT DISTINCT ON (row_index) row_index, coalesce(nullif({_squeeze('stream_name')}, ''), regexp_extract({_squeeze('frame_id')}, '^(.+?)__', 1)) AS stream_name,
+         'day' || coalesce(nullif(ltrim(regexp_extract({_squeeze('day')}, '(\d+)$', 1), '0'), ''), regexp_extract({_squeeze('frame_id')}, '__day0*(\d+)__', 1)) AS day,
+         coalesce(try_cast(trim(hour) AS integer), try_cast(regexp_extract({_squeeze('frame_id')}, '__(\d+)_\d+$', 1) AS integer)) AS hour,
+         coalesce(time_offset_sec, (frame_index - 1) * 5, (try_cast(regexp_extract(frame_id, '_(\d+)\s*$', 1) AS integer) - 1) * 5, -1) AS off, raw_text
+  FROM transcript_aligned WHERE row_index IS NOT NULL),
+spelt AS (
+  SELECT v, min(speaker) AS speaker FROM (
+    SELECT speaker, unnest(list_concat(
+      list_transform(range(1, length(speaker) + 1), lambda i: speaker[1:i] || speaker[i:]),
+      list_transform(range(1, length(speaker)), lambda i: speaker[1:i - 1] || speaker[i + 1:i + 1] || speaker[i:i] || speaker[i + 2:]),
+      CASE WHEN length(speaker) > 4 THEN list_transform(range(1, length(speaker) + 1), lambda i: speaker[1:i - 1] || speaker[i + 1:]) ELSE [] END)) AS v
+    FROM (SELECT DISTINCT lower(speaker) AS speaker FROM speakers WHERE speaker IS NOT NULL))
+  WHERE v NOT IN (SELECT lower(speaker) FROM speakers WHERE speaker IS NOT NULL) GROUP BY v HAVING count(DISTINCT speaker) = 1),
+known AS (SELECT DISTINCT lower(speaker) AS v, speaker FROM speakers WHERE speaker IS NOT NULL UNION ALL SELECT v, s.speaker FROM spelt JOIN speakers s ON lower(s.speaker) = spelt.speaker
+  UNION ALL SELECT DISTINCT speaker_no::varchar, speaker FROM speakers WHERE speaker IS NOT NULL AND speaker_no IS NOT NULL),
+tok AS (
+  SELECT stream_name, day, hour, off, row_index, unnest(t) AS tok, unnest(range(len(t))) AS i FROM (
+    SELECT *, regexp_extract_all(raw_text, $$(?i){_STAMP}|{_bare(_LABEL)}|{_ASIDE}|{_SPOKEN}$$) AS t FROM tr WHERE raw_text IS NOT NULL AND stream_name IS NOT NULL AND day IS NOT NULL AND hour IS NOT NULL)),
+kind AS (
+  SELECT *, regexp_full_match(tok, $$(?i){_STAMP}$$) AS stamp, regexp_full_match(tok, $$(?i){_ASIDE}$$) AS aside,
+         CASE WHEN regexp_full_match(tok, $$(?i){_bare(_LABEL)}$$) THEN coalesce(nullif(regexp_extract(tok, $$(?i)^{_LABEL}$$, 1), ''), lower(regexp_extract(tok, $$(?i)^{_LABEL}$$, 2)))
+              WHEN regexp_matches(tok, '^[\[<]') THEN coalesce(nullif(regexp_extract(lower(tok), $$^[\[<]\s*{_NUMBER}\s*[\]>]$$, 1), ''), trim(lower(tok), '[]<> ')) END AS says
+  FROM tok),
+named AS (
+  SELECT k.* EXCLUDE (says), known.speaker AS label,
+         CASE WHEN stamp OR known.speaker IS NOT NULL OR (aside AND len(regexp_extract_all(tok, $${_SPOKEN}$$)) <= 4) THEN [] ELSE list_filter(regexp_extract_all(tok, $${_SPOKEN}$$), lambda w: NOT regexp_full_match(lower(w), '{_HESITATION}')) END AS words
+  FROM kind k LEFT JOIN known ON known.v = k.says AND NOT stamp),
+said AS (
+  SELECT *, last_value(label IGNORE NULLS) OVER (PARTITION BY stream_name, day, hour ORDER BY off, row_index, i ROWS UNBOUNDED PRECEDING) AS speaker FROM named),
+spoken AS (
+  SELECT *, CASE WHEN speaker = lag(speaker) OVER w THEN 0 ELSE 1 END AS fresh FROM said WHERE speaker IS NOT NULL AND len(words) > 0 WINDOW w AS (PARTITION BY stream_name, day, hour ORDER BY off, row_index, i)),
+num AS (SELECT *, sum(fresh) OVER (PARTITION BY stream_name, day, hour ORDER BY off, row_index, i) AS turn FROM spoken),
+turns AS (
+  SELECT stream_name, day, hour, turn::bigint AS turn_no, speaker, arg_min(row_index, (off, row_index, i)) AS first_row, arg_max(row_index, (off, row_index, i)) AS last_row, sum(len(words))::bigint AS n_words,
+         string_agg(array_to_string(words, ' '), ' ' ORDER BY off, row_index, i) AS words
+  FROM num GROUP BY stream_name, day, hour, turn, speaker)
+"""
+
 ORACLE = {
+    "p4_found": _TURNS + "SELECT first_row, last_row, speaker FROM turns",
+    "p4_turns": _TURNS + "SELECT * FROM turns",
     "p1_found": _RUNS + "SELECT first_frame_id, last_frame_id FROM runs WHERE n_frames >= 2",
     "p1_runs": _RUNS + "SELECT * FROM runs",
     "p2_found": """
