@@ -33,8 +33,8 @@ PIECE = 800_000
 PATH_BLOCK = 512
 #: Stretches of a path up to which shared_share compares each with each other; beyond, it compares hashes of windows.
 CROWD = 32
-#: Documents up to which their ids are broadcast to pick the texts that are compared (8 bytes each).
-BROADCAST_DOCS = 1_000_000
+#: Documents and repeated tokens up to which their ids and hashes are broadcast, so that the others needn't be sent (8 bytes each).
+BROADCAST_DOCS, BROADCAST_TOKENS = 1_000_000, 1_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xD6E8FEB86659FD93)
@@ -185,10 +185,14 @@ def repeated_tokens(kmers: DataFrame) -> DataFrame:
 
     The documents of each token are first reduced to a smallest and a largest
     one on the map side, so a token of a third of all texts costs no more than
-    any other; the join back is split by the adaptive skew join.
+    any other. Where the repeated tokens are few enough to be told to every
+    task, no other token is sent again; else they are joined by exchange, which
+    the adaptive skew join splits.
     """
     both = kmers.groupBy("edge").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("edge")
-    return kmers.join(both, "edge")
+    both = checkpointed(both)
+    few = both.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    return kmers.join(F.broadcast(both) if few else both, "edge")
 
 
 def paths(repeated: DataFrame, k: int = K, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -92,6 +92,15 @@ def test_hot_boilerplate_in_blocks(spark):
     assert sp.shared_pairs(df).count() == 90 * 89 // 2
 
 
+def test_what_is_too_much_to_broadcast_is_joined(spark, monkeypatch):
+    texts = corpus(5)
+    monkeypatch.setattr(sp, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(sp, "BROADCAST_TOKENS", 0)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {tuple(r) for r in sp.shared_pairs(df).collect()} == brute_pairs(texts, 150)
+    assert {r.doc_id: r.shared_chars for r in sp.shared_share(df).collect()} == brute_shared(texts, 150)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_shares_by_windows_alone_equal_brute_force(spark, seed, monkeypatch):
     texts = corpus(seed)
