@@ -9,8 +9,10 @@ again until no pair reaches the wanted similarity within the gap limit.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,18 +90,36 @@ def collapse_runs(events: DataFrame, max_gap: float, min_similarity: float = 1.0
     e = events.select("entity", F.col("t").cast("double").alias("t"), "state").where("entity is not null and t is not null and state is not null")
     e = e.withColumn("block", F.floor(F.col("t") / block_sec).cast("long"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "state"], kind="stable")
-        ts, ss = pdf["t"].tolist(), pdf["state"].tolist()
-        rows = [(ts[a], ts[b], sum(h.values()), ss[a]) for a, b, h in agglomerate(ts, ss, max_gap, 1.0)]
-        out = pd.DataFrame(rows, columns=["start_t", "end_t", "n", "state"])
-        out["entity"], out["block"], out["edge"] = pdf["entity"].iloc[0], pdf["block"].iloc[0], 0
-        out.iloc[[0, -1], out.columns.get_loc("edge")] = 1
-        return out[["entity", "block", "start_t", "end_t", "n", "state", "edge"]]
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(parts: list[list]) -> pa.RecordBatch:
+            rows = []
+            for entity, block, ts, ss in parts:
+                got = [(entity, block, ts[a], ts[b], sum(h.values()), ss[a], 0) for a, b, h in agglomerate(ts, ss, max_gap, 1.0)]
+                for at in {0, len(got) - 1}:
+                    got[at] = (*got[at][:-1], 1)
+                rows += got
+            cols = list(zip(*rows)) or [[]] * 7
+            types = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int32())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["entity", "block", "start_t", "end_t", "n", "state", "edge"])
+
+        held: list | None = None  # a block may go on in the next batch
+        for b in batches:
+            parts = []
+            for entity, block, t, state in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if held is None or held[0] != entity or held[1] != block:
+                    if held is not None:
+                        parts.append(held)
+                    held = [entity, block, [], []]
+                held[2].append(t)
+                held[3].append(state)
+            yield found(parts)
+        if held is not None:
+            yield found([held])
 
     # A stated number of partitions: by their few bytes the adaptive plan would put all blocks into one or two tasks.
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = e.select("entity", "block", "t", "state").repartition(n, "entity", "block").groupBy("entity", "block").applyInPandas(one, RUN_SCHEMA)
+    e = e.select("entity", "block", "t", "state").repartition(n, "entity", "block").sortWithinPartitions("entity", "block", "t", "state")
+    runs = e.mapInArrow(blocks, RUN_SCHEMA)
     keep = ["entity", "state", "start_t", "end_t", "n"]
     # Only the outermost runs of a block share the entity's lane; the others stay in lanes of their own.
     lane = F.when(F.col("edge") == 1, F.lit(-1)).otherwise(F.col("block"))
