@@ -33,8 +33,10 @@ PIECE = 800_000
 PATH_BLOCK = 512
 #: Stretches of a path up to which shared_share compares each with each other; beyond, it compares hashes of windows.
 CROWD = 32
-#: Documents and repeated tokens up to which their ids and hashes are broadcast, so that the others needn't be sent (8 bytes each).
-BROADCAST_DOCS, BROADCAST_TOKENS = 1_000_000, 1_000_000
+#: Documents up to which their ids are broadcast to pick the texts that are compared (8 bytes each).
+BROADCAST_DOCS = 1_000_000
+#: Bits for each repeated token in the map that every task gets, the binary logarithm of the map's most bits, and of its slices.
+BITS_EACH, MAX_BITS_LOG, SLICES_LOG = 16, 28, 6
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B2 = np.uint64(0xD6E8FEB86659FD93)
@@ -154,12 +156,15 @@ def _unlike(texts: list[str], n: np.ndarray, pos: np.ndarray, h: np.ndarray, k:
     return keep
 
 
-def sampled_kmers(docs: DataFrame, k: int = K, min_chars: int = MIN_CHARS, unlike: bool = False) -> DataFrame:
+def sampled_kmers(docs: DataFrame, k: int = K, min_chars: int = MIN_CHARS, unlike: bool = False, wanted: np.ndarray | None = None) -> DataFrame:
     """``doc_id, pos, edge`` of every sampled k-mer of ``docs(doc_id, text)``; texts shorter than min_chars have none.
 
     With ``unlike`` a token that a text repeats comes out once for each of its
     different surroundings, which is enough to find the pairs of texts.
+    ``wanted`` is a map of bits (see edge_bits); tokens without theirs are left
+    out where they are made.
     """
+    shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,6 +175,10 @@ def sampled_kmers(docs: DataFrame, k: int = K, min_chars: int = MIN_CHARS, unlik
                 for n, pos, h in tokens_of(texts, k, min_chars):
                     # A piece may begin or end at the same k-mer as its neighbour.
                     keep = np.r_[True, (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])] if len(n) else np.zeros(0, bool)
+                    if shared is not None:
+                        bits = shared.value
+                        place = _place(h, len(bits).bit_length() + 2)
+                        keep &= (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     n, pos, h = n[keep], pos[keep], h[keep]
                     if unlike and len(n):
                         keep = _unlike(texts, n, pos, h, k, min_chars)
@@ -180,19 +189,55 @@ def sampled_kmers(docs: DataFrame, k: int = K, min_chars: int = MIN_CHARS, unlik
     return d.mapInArrow(run, "doc_id long, pos int, edge long")
 
 
-def repeated_tokens(kmers: DataFrame) -> DataFrame:
-    """The tokens that stand in more than one text, with what they need to know of their neighbours.
+def repeated_edges(kmers: DataFrame) -> DataFrame:
+    """``edge`` of the tokens that stand in more than one text.
 
-    The documents of each token are first reduced to a smallest and a largest
-    one on the map side, so a token of a third of all texts costs no more than
-    any other. Where the repeated tokens are few enough to be told to every
-    task, no other token is sent again; else they are joined by exchange, which
-    the adaptive skew join splits.
+    The documents of each token are reduced to a smallest and a largest one on
+    the map side, so a token of a third of all texts costs no more than any
+    other.
     """
-    both = kmers.groupBy("edge").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("edge")
-    both = checkpointed(both)
-    few = both.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
-    return kmers.join(F.broadcast(both) if few else both, "edge")
+    return checkpointed(kmers.groupBy("edge").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("edge"))
+
+
+def _place(h: np.ndarray, log: int) -> np.ndarray:
+    """Place of a token in a map of 2 ** log bits. Sampled hashes are small ones, so they are mixed again."""
+    return (h * _M1) >> np.uint64(64 - log)
+
+
+def edge_bits(edges: DataFrame) -> np.ndarray:
+    """A map of bits in which those of the given tokens are set.
+
+    It has about BITS_EACH bits for each token, at most 2 ** MAX_BITS_LOG (32
+    MB), so it is of bounded size however many tokens there are; a fuller map
+    lets more others through, which the exact join then drops. Slices are
+    built by tasks of their own, and only finished slices reach the driver.
+    """
+    log = int(np.clip(np.ceil(np.log2(BITS_EACH * edges.count() + 1)), SLICES_LOG + 3, MAX_BITS_LOG))
+    size = 1 << (log - SLICES_LOG)  # bits of a slice
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for b in batches:
+            place = b.column(0).to_numpy()
+            for k in np.unique(place // size).tolist():
+                slices.setdefault(k, np.zeros(size, bool))[place[place // size == k] % size] = True
+        yield pa.record_batch([pa.array(list(slices), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in slices.values()], pa.binary())], names=["slice", "bits"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array(_place(b.column(0).to_numpy().view(np.uint64), log).astype(np.int64))], names=["place"])
+
+    place = edges.select("edge").mapInArrow(places, "place long")
+    got = place.repartition(F.floor(F.col("place") / size)).mapInArrow(build, "slice long, bits binary").collect()
+    out = np.zeros((1 << log) // 8, np.uint8)
+    for k, bits in got:
+        out[k * size // 8 : (k + 1) * size // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def repeated_tokens(kmers: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """The tokens that stand in more than one text (``edges``, if they are known already); the adaptive skew join splits a hot one."""
+    return kmers.join(repeated_edges(kmers) if edges is None else edges, "edge")
 
 
 def paths(repeated: DataFrame, k: int = K, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -289,7 +334,9 @@ def shared_stretches(docs: DataFrame, min_chars: int = MIN_CHARS, k: int = K, un
     """The stretches of paths of different texts (one document standing for its exact copies), and the copies."""
     # Both are read several times and are small beside the tokens they come from.
     copies = checkpointed(exact_copies(docs, min_chars))
-    stretches = paths(repeated_tokens(sampled_kmers(docs, k, min_chars, unlike)), k, min_chars)
+    edges = repeated_edges(sampled_kmers(docs, k, min_chars, unlike))
+    # The texts are read again, but only what may be repeated is sent again.
+    stretches = paths(repeated_tokens(sampled_kmers(docs, k, min_chars, unlike, edge_bits(edges)), edges), k, min_chars)
     return checkpointed(stretches.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")), copies
 
 

@@ -95,12 +95,25 @@ def test_hot_boilerplate_in_blocks(spark):
 def test_what_is_too_much_to_broadcast_is_joined(spark, monkeypatch):
     texts = corpus(5)
     monkeypatch.setattr(sp, "BROADCAST_DOCS", 0)
-    monkeypatch.setattr(sp, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(sp, "MAX_BITS_LOG", 9)  # a map so full that it lets nearly all through
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {tuple(r) for r in sp.shared_pairs(df).collect()} == brute_pairs(texts, 150)
     assert {r.doc_id: r.shared_chars for r in sp.shared_share(df).collect()} == brute_shared(texts, 150)
 
 
+def test_the_map_of_bits_has_those_of_the_tokens_and_few_others(spark):
+    rng = np.random.default_rng(3)
+    e = rng.integers(0, 2**55, 3000)  # small, as minimisers are
+    bits = sp.edge_bits(spark.createDataFrame([(int(x),) for x in e], "edge long"))
+    log = len(bits).bit_length() + 2
+    def held(v):
+        at = sp._place(v.view(np.uint64), log)
+        return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+
+    assert held(e).all() and held(rng.integers(0, 2**55, 3000)).mean() < 0.1
+    assert not sp.edge_bits(spark.createDataFrame([], "edge long")).any()
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_shares_by_windows_alone_equal_brute_force(spark, seed, monkeypatch):
     texts = corpus(seed)
