@@ -103,8 +103,12 @@ def topk_vectors(queries: DataFrame, vectors: DataFrame, k: int, key: str = "fra
     return rank_topk(cosine_scores(queries, vectors, key), k, key)
 
 
-def _query_matrix(queries: DataFrame, vec: str, most: int | None = MAX_QUERY_BLOCK) -> tuple[list, np.ndarray]:
+def _query_matrix(queries: DataFrame | tuple[list[str], np.ndarray], vec: str, most: int | None = MAX_QUERY_BLOCK) -> tuple[list, np.ndarray]:
     """Ids and unit vectors of a stated query set on the driver; its number is checked before it is read."""
+    if isinstance(queries, tuple):
+        order = sorted(range(len(queries[0])), key=lambda i: queries[0][i])
+        q = np.asarray(queries[1], dtype=np.float64).reshape(len(order), -1)[order] if order else np.zeros((0, 1))
+        return [queries[0][i] for i in order], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     rows = queries.select("query_id", vec).where(F.col(vec).isNotNull())
     rows = (rows if most is None else rows.limit(most + 1)).collect()
     if most is not None and len(rows) > most:
@@ -128,11 +132,11 @@ def _best(q: np.ndarray, s: np.ndarray, keys: list[np.ndarray], k: int) -> np.nd
     return order[np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q, side="left") < k]
 
 
-def topk_product(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...] = ("frame_id",), qvec: str = "vec", positive: bool = False, best_of: str | None = None, most: int | None = MAX_QUERY_BLOCK) -> DataFrame:
+def topk_product(queries: DataFrame | tuple[list[str], np.ndarray], vectors: DataFrame, k: int, keys: tuple[str, ...] = ("frame_id",), qvec: str = "vec", positive: bool = False, best_of: str | None = None, most: int | None = MAX_QUERY_BLOCK) -> DataFrame:
     """``query_id, <keys>, score``: candidates for the k best by cosine (9 places) of each of a stated query set.
 
-    ``queries(query_id, <qvec>)``, ``vectors(<keys>, vec)`` without null
-    vectors. A matrix product for each slice of an Arrow batch, of at most
+    ``queries(query_id, <qvec>)`` or names and matrix of a set that is on the
+    driver already; ``vectors(<keys>, vec)`` without null vectors. A matrix product for each slice of an Arrow batch, of at most
     MAX_SCORES scores; each task hands on k rows for each query, those of the
     highest scores, ties by the keys. With ``positive`` scores of 0 and less
     don't count. With ``best_of``, one of the keys, only the best row of each
@@ -140,7 +144,7 @@ def topk_product(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str
     of all is among the k best of the task that holds its best row.
     """
     ids, q = _query_matrix(queries, qvec, most)
-    qid_type = queries.schema["query_id"].dataType.simpleString()
+    qid_type = "string" if isinstance(queries, tuple) else queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qid_type}, " + ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys) + ", score double"
     if not ids:
         return vectors.sparkSession.createDataFrame([], schema)

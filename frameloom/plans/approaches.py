@@ -10,6 +10,7 @@ import warnings
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +72,10 @@ def approach_b(a: Archive, k: int = TOP_K) -> DataFrame:
     return dense.rank_topk(fuse.normalise_lists(dense.topk_product(a.query_vectors(), a.vectors(), k, qvec="qvec"), k), k)
 
 
-def query_text_vectors(a: Archive) -> DataFrame:
-    """``query_id, vec``: the texts of the query set by the index's text encoder, on the driver, as the set is small and checked."""
+def query_text_vectors(a: Archive) -> tuple[list[str], np.ndarray]:
+    """Names and vectors of the query set's texts by the index's text encoder, on the driver, as the set is small and checked."""
     rows = a.queries().select("query_id", "query_text").collect()
-    m = a.index.encoder().encode([r[1] or "" for r in rows]) if rows else []
-    return a.spark.createDataFrame([(r[0], [float(x) for x in v]) for r, v in zip(rows, m)], "query_id string, vec array<float>")
+    return [r[0] for r in rows], a.index.encoder().encode([r[1] or "" for r in rows]) if rows else np.zeros((0, 1))
 
 
 def dense_text(a: Archive, k: int = TOP_K, exact: bool = False) -> tuple[DataFrame, DataFrame]:
